@@ -1,0 +1,21 @@
+"""The test tables seen as the engine's model, and the queries over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .session import table
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens of each document: a quarter of its characters, rounded up."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("(char_length(text) + 3) div 4").alias("tokens"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark, sf_dir)
+
+
+QUERIES = {"token_counts": token_counts}
+ORACLE_SQL = {"token_counts": "SELECT doc_id, CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM documents"}
