@@ -17,6 +17,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import bound_batches
+
 # Frequent function words by language.
 STOP_WORDS = frozenset(
     """
@@ -253,5 +255,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    bound_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 #: (phrase, label) whose consecutive words are looked for everywhere.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -150,6 +152,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     Null text is empty: no words, no labels, score 0. Null ids and repeated rows come out as they came in; other columns
     are not read. The score is 1 where a phrase stands, else the highest containment of a matched template, else 0.
     """
+    bound_batches(docs.sparkSession)
     index = TemplateIndex(templates, word_frequencies(docs, templates), threshold)
     known = [(b" " + b" ".join(plain(p).split()) + b" ", label) for p, label in phrases]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, url_reputation
+from . import html_extract, licenses, near_dup, url_reputation
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
+    "op7_near_dup": op7_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -36,3 +36,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Bounds the bytes of each batch that Arrow hands to Python, so that very long texts don't add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
