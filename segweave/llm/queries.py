@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, near_dup, url_reputation
+from . import html_extract, licenses, mixing, near_dup, url_reputation
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
