@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, mixing, near_dup, url_reputation
+from . import html_extract, licenses, mixing, near_dup, packing, url_reputation
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +31,18 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
     "op7_near_dup": op7_near_dup,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
