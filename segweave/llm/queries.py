@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, mixing, near_dup, packing, url_reputation
+from . import html_extract, licenses, mixing, near_dup, packing, toxicity, url_reputation
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
