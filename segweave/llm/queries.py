@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, mixing, near_dup, packing, toxicity, url_reputation
+from . import html_extract, licenses, mixing, near_dup, packing, pii, toxicity, url_reputation
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
     "op7_near_dup": op7_near_dup,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
