@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segweave.session import table
 
-from . import html_extract, licenses, mixing, near_dup, packing, pii, toxicity, url_reputation
+from . import ann, html_extract, licenses, mixing, near_dup, packing, pii, topk, toxicity, url_reputation
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,18 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_url_filters": op5_url_filters,
+    "op6_topk": op6_topk,
     "op7_near_dup": op7_near_dup,
+    "op8_ann": op8_ann,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
