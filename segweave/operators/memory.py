@@ -50,7 +50,7 @@ class Memory:
         rows = self.memories.select("id", "content", score.alias("score"))
         rows = (rows.where("score > 0") if words else rows).orderBy(F.desc("score"), F.desc("id")).limit(limit)
         sources = self.provenance.groupBy(F.col("memory_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
-        return rows.join(sources, "id", "left").withColumn("sources", F.coalesce("sources", F.lit("")))
+        return rows.join(sources, "id", "left").withColumn("sources", F.coalesce("sources", F.lit(""))).orderBy(F.desc("score"), F.desc("id"))
 
     def forget(self, ids: DataFrame) -> Memory:
         """Without the memories of ids(id), and what names them."""

@@ -102,7 +102,7 @@ def written_back(results: DataFrame, plan: DataFrame, least_savings: int = 0) ->
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """path, text of the non-empty files of a folder, not of folders in it."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.where(F.char_length("text") > 0)
 
 

@@ -595,10 +595,10 @@ def hit_rate_streak(spark, sf_dir):
   UNION ALL SELECT session_id, turn, CASE WHEN over AND NOT shifted THEN baseline ELSE 0.3 * o + 0.7 * baseline END, run, over AND NOT shifted FROM
    (SELECT *, over AND run >= 5 AS shifted FROM (SELECT f.session_id, t.turn, CAST(t.output_tokens AS DOUBLE) AS o, f.baseline, t.turn >= 2 AND t.output_tokens > f.baseline * 1.75 AS over, CASE WHEN t.turn >= 2 AND t.output_tokens > f.baseline * 1.75 THEN f.run + 1 ELSE 0 END AS run
      FROM f JOIN t ON t.session_id = f.session_id AND t.turn = f.turn + 1)))
-  SELECT session_id, turn, round(baseline, 3) AS baseline, spiking FROM f"""
+  SELECT session_id, turn, CAST(floor(baseline * 1000 + 0.3337) AS BIGINT) AS baseline_thousandths, spiking FROM f"""
 )
 def ewma_spikes(spark, sf_dir):
-    return monitors.spiking_turns(turns(spark, sf_dir)).select("session_id", "turn", F.round("baseline", 3).alias("baseline"), "spiking")
+    return monitors.spiking_turns(turns(spark, sf_dir)).select("session_id", "turn", F.floor(F.col("baseline") * 1000 + 0.3337).alias("baseline_thousandths"), "spiking")
 
 
 @query("SELECT count(*) AS requests, count(DISTINCT user_id) AS sessions, round(sum(value), 4) AS total, round(1 - sum(value) FILTER (WHERE event_type = 'click') / sum(value), 6) AS savings FROM events")
