@@ -54,12 +54,12 @@ def _strength(units: DataFrame, by: list[str], floor: float, ceil: float) -> Dat
     m = units.where("n > 0").groupBy(*by).agg(
         F.count("*").alias("units"), F.sum(n).alias("sn"), F.sum(k).alias("sk"),
         F.sum(n * n).alias("sn2"), F.sum(k * k / n).alias("skn"))
-    p = F.col("sk") / F.col("sn")
-    between = (F.col("skn") - F.col("sk") * F.col("sk") / F.col("sn")) / (F.col("units") - 1)
-    within = (F.col("sk") - F.col("skn")) / (F.col("sn") - F.col("units"))
-    n0 = (F.col("sn") - F.col("sn2") / F.col("sn")) / (F.col("units") - 1)
-    rho = (between - within) / (between + (n0 - 1) * within)
-    ok = (F.col("units") > 1) & (F.col("sn") > F.col("units")) & (p > 0) & (p < 1)
+    # try_divide: where a quotient has no sense the level has no spread
+    between = F.try_divide(F.col("skn") - F.try_divide(F.col("sk") * F.col("sk"), F.col("sn")), F.col("units") - 1)
+    within = F.try_divide(F.col("sk") - F.col("skn"), F.col("sn") - F.col("units"))
+    n0 = F.try_divide(F.col("sn") - F.try_divide(F.col("sn2"), F.col("sn")), F.col("units") - 1)
+    rho = F.try_divide(between - within, between + (n0 - 1) * within)
+    ok = (F.col("units") > 1) & (F.col("sn") > F.col("units")) & (F.col("sk") > 0) & (F.col("sk") < F.col("sn"))
     return m.select(*by, F.when(ok, F.least(F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(floor)), F.lit(ceil))).otherwise(F.lit(ceil)).alias("s0"), F.when(ok & (rho > 0), F.lit(True)).otherwise(F.lit(False)).alias("spread"))
 
 
@@ -98,4 +98,4 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: flo
     hit = matching_rule(F.col("host"), F.col("path"), rules)
     judged = seen.withColumn("hit", hit).join(reputation.select("host", "lower"), "host", "left")
     verdict = F.coalesce(F.col("hit.action"), F.when(F.col("lower") > threshold, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.col("lower").alias("bad_lower"))
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.round("lower", 6).alias("bad_lower"))
