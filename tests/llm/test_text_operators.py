@@ -1,0 +1,249 @@
+"""Licenses, HTML, URL reputation, PII and toxicity on small fixtures and hard rows."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from segweave.llm import html_extract, licenses, pii, toxicity, url_reputation
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOC)
+
+
+# licenses
+
+
+def brute_licenses(text, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, threshold=licenses.THRESHOLD):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = word.findall(low)
+    starts, base = [], set()
+    for phrase, label in phrases:
+        p = phrase.split()
+        found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        starts += found
+        base |= {label} if found else set()
+    labels, score = set(base), 1.0 if base else 0.0
+    for line in low.split("\n"):
+        have = set(word.findall(line))
+        for label, template in templates:
+            need = set(word.findall(template))
+            c = len(need & have) / len(need)
+            if c >= threshold - 1e-12:
+                labels.add(label)
+                score = max(score, c)
+    return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+
+
+TEXTS = [
+    None, "", "   ", "Released under the MIT License.", "x under the mit license under the MIT license y", "Licensed under the Apache License, Version 2.0.",
+    "Licensed under CC BY-NC 4.0.\nother", "This work is licensed under the GNU General Public License, version 3.", "mit license the under", "ünder the mit licenseé",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+    "license " * 3000, "GNU license version", "a\x00b under\x7fthe mit license",
+]
+
+
+def test_licenses_equal_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3]), (3, TEXTS[3])]
+    got = licenses.scan_licenses(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: tuple(r)[1:] for r in got}
+    for i, t in enumerate(TEXTS):
+        assert by[i] == brute_licenses(t), t
+    assert by[4][:4] == (10, 2, 1, 5) and "gpl-3" in by[7][5]
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_filters_lose_no_template():
+    import random
+
+    random.seed(5)
+    words = [f"w{i}" for i in range(12)]
+    templates = [(f"t{k}", " ".join(random.sample(words, random.randint(1, 8)))) for k in range(12)]
+    for threshold in (0.5, 0.8, 1.0):
+        index = licenses.TemplateIndex(templates, {w.encode(): random.randint(0, 5) for w in words}, threshold)
+        for _ in range(300):
+            block = {w.encode() for w in random.sample(words, random.randint(0, 12))}
+            want = {t for t, (_, text) in enumerate(templates) if len(set(text.encode().split()) & block) >= threshold * len(text.split()) - 1e-9}
+            assert set(index.match(block)) == want
+
+
+# HTML
+
+LONG = "The cat of the house was in the garden and it was not as good as it had been for all of the summer. "
+PAGE = (
+    '<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    f'<div class="cookie-notice">We use cookies for the best of all.</div><div id="content"><h2>A title</h2><p>{LONG}</p><p>Short &amp; sweet&nbsp;one.</p><form><p>{LONG}</p></form>'
+    f'<aside>{LONG}</aside><p>Last<br>line of it.</p></div><section class="comments"><h3>Comments</h3><p>{LONG}</p></section><footer>{LONG}</footer></body></html>'
+)
+
+
+def test_main_text_of_a_page():
+    assert html_extract.main_text(PAGE) == f"A title\n{LONG.strip()}\nShort & sweet one.\nLast line of it."
+
+
+def test_article_keeps_its_short_and_foreign_blocks():
+    page = f"<body><nav><a href=a>Menu</a></nav><div class=ad>Buy this.</div><article><h1>Head</h1><p>Xq.<p>zz | yy | xx<p>{LONG}<div class='comment'>{LONG}</div></article><footer>f</footer></body>"
+    assert html_extract.main_text(page) == f"Head\nXq.\nzz | yy | xx\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "<script>never closed", "</div></div>", "<p class='a>b'>x", "\x00<p>\ud800</p>".encode("utf-8", "replace").decode(), "<div>" * 3000])
+def test_broken_pages_give_some_text(page):
+    assert isinstance(html_extract.main_text(page), str)
+
+
+def test_extract_pages(spark):
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert sorted(r.n_chars for r in got) == sorted(len(html_extract.main_text(h)) for _, _, h in rows)
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# URLs
+
+
+def brute_rule(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    if rest is None:
+        return "", "", None, None
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+    fits = [(len(h + p), h + p, a) for a, h, p in url_reputation.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+URLS = [
+    "http://A.example.NET/en/1", "https://x.net/a?b", "http://x.net", "ftp://example.com/de/x#y", "http://example.com/DE/", "http://blog.example.com/de/1", "http://org/fr/", "http://a.org/fr/?x",
+    "http://notnet/", "no scheme", None, "", "://", "http://u://v/w", "http://ÄB.net/x", "http://example.net/en", "http://h?x/y", "a\n://b.net/c\nd",
+]
+
+
+def test_rules_and_hosts(spark):
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)] + [(None, URLS[0], None), (0, URLS[0], None)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = url_reputation.filter_urls(pages, labels).collect()
+    assert len(got) == len(URLS) + 2
+    for r in got:
+        if r.page_id is not None:
+            host, path, rule, verdict = brute_rule(URLS[r.page_id])
+            assert (r.host, r.path, r.rule) == (host, path, rule), URLS[r.page_id]
+            assert r.verdict == (verdict or "allow")
+
+
+def test_bad_hosts_are_blocked_and_rare_ones_shrunk(spark):
+    hosts = {"bad.spam.com": (200, 190), "good.fine.com": (200, 4), "rare.other.com": (1, 1), "new.spam.com": (1, 1), "more.fine.com": (150, 3)}
+    rows, labels, n = [], [], 0
+    for host, (all_, bad) in hosts.items():
+        for k in range(all_):
+            rows.append((n, f"http://{host}/{k}", None))
+            labels.append((n, int(k >= bad), 0))
+            n += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: r for r in url_reputation.filter_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).dropDuplicates(["host"]).collect()}
+    assert got["bad.spam.com"].verdict == "block" and got["good.fine.com"].verdict == "allow" and got["rare.other.com"].verdict == "allow"
+    assert got["new.spam.com"].bad_lower > got["rare.other.com"].bad_lower > got["good.fine.com"].bad_lower
+
+
+# PII
+
+ENTITIES = {
+    "email": "anna.lee42@mail7.example.com", "phone": "+1 (017) 555-7713", "ip": "97.51.17.173", "card": "4111 1111 1111 1111", "secret": 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"',
+    "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "name": "Mr. John Smith",
+}
+
+
+def test_every_kind_is_found_and_keeps_its_format():
+    p = pii.Pseudonymizer()
+    for kind, entity in ENTITIES.items():
+        out, done = p.replace(f"see {entity} there")
+        assert [k for k, _, _ in done] == [kind] and done[0][1] == entity and entity not in out
+        assert re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", done[0][2])) if kind != "ip" else True
+        assert len(done[0][2].split(".")) == 4 if kind == "ip" else len(done[0][2]) == len(entity) or kind == "name"
+    card = re.sub(r"\D", "", p.replace(ENTITIES["card"])[1][0][2])
+    assert pii.luhn_digit(card[:-1]) == card[-1]
+    iban = p.replace(ENTITIES["iban"])[1][0][2].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_gender_script_and_coreference():
+    p = pii.Pseudonymizer()
+    out = p.replace("Frau Anna Müller, г-н Иван Петров")[1]
+    assert out[0][2].split()[1] in pii.GIVEN_NAMES[1] and out[1][2].split()[1] in pii.GIVEN_NAMES[2] and re.fullmatch("[А-я]+", out[1][2].split()[2])
+    a, b = p.replace("JOHN@x.org john@x.org")[1]
+    assert a[2].lower() == b[2].lower() and a[2] != b[2]
+    assert pii.Pseudonymizer(b"other").replace("john@x.org") != p.replace("john@x.org")
+
+
+def test_permutations_have_inverses_and_no_fixed_points():
+    for n in (2, 3, 10, 97, 256):
+        f = pii.Permutation(b"k", "t", n)
+        image = [f(x) for x in range(n)]
+        assert sorted(image) == list(range(n)) and all(x != y for x, y in enumerate(image))
+
+
+@pytest.mark.parametrize("text", [None, "", "plain words only", "version 1.2.3 of 2024 costs 1000000", "1.2.3.4.5", "@ a@ @b", "token ring", "Mr. x"])
+def test_clean_texts_stay(text):
+    assert pii.Pseudonymizer().replace(text) == (text, [])
+
+
+def test_pseudonymize(spark):
+    rows = [(i, f"a {e} b {e}") for i, e in enumerate(ENTITIES.values())] + [(90, None), (91, ""), (None, ENTITIES["email"]), (0, ENTITIES["email"])]
+    df = docs(spark, rows)
+    got = pii.pseudonymize(df).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.text for r in got}[90] is None
+    assert all(r.n_entities == 2 for r in got if r.doc_id is not None and 0 < r.doc_id < 8)
+    assert pii.check_surrogates(df).count() == 0 and pii.entity_surrogates(df).count() == len(ENTITIES)
+    assert pii.replace_pii(df).columns == df.columns
+
+
+# toxicity
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    import random
+
+    random.seed(7)
+    plain = "house garden summer river stone window market teacher paper silver morning winter bottle carpet".split()
+    rude = "idiotic idiots idiot scummy scum".split()
+    rows = []
+    for i in range(600):
+        words = random.choices(plain, k=random.randint(20, 60))
+        toxic = i % 3 == 0
+        if toxic:
+            for _ in range(3):
+                words[random.randrange(len(words))] = random.choice(rude)
+        rows.append((i, " ".join(words), int(toxic)))
+    return docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy(labelled):
+    d, labels = labelled
+    got = toxicity.score_toxicity(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert len(got) > 80 and sum(r.predicted == r.toxic for r in got) / len(got) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_labels_of_the_held_out_fold_change_nothing(labelled):
+    d, labels = labelled
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    score = lambda y: {r.doc_id: r.score for r in toxicity.score_toxicity(d, y).collect()}
+    assert score(labels) == score(flipped)
+
+
+def test_hard_rows(spark, labelled):
+    d, labels = labelled
+    odd = docs(spark, [(1000, None), (1001, ""), (1002, "!!! 123"), (None, "idiot"), (1003, "idiot " * 5000)])
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d.union(odd), labels).collect()}
+    assert got[1000].score == got[1001].score == got[1002].score and got[1003].predicted == 1 and not got[None].held_out
+    none = toxicity.score_toxicity(odd, labels.limit(0)).collect()
+    assert len(none) == 5 and len({r.score for r in none}) == 1
+    assert toxicity.score_toxicity(d.limit(0), labels).count() == 0
+    kept = toxicity.drop_toxic(d.union(odd), labels)
+    assert kept.columns == d.columns and kept.where("doc_id = 1003").count() == 0 and kept.where("doc_id = 1000").count() == 1
