@@ -80,7 +80,7 @@ def licenses_sql() -> str:
     templates = ", ".join(f"({k}, '{label}', {listed(sorted(set(text.split())))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), d2 AS (SELECT *, {_words_sql("text")} AS w FROM d),
   f AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, {found} FROM d2), g AS (SELECT r, doc_id, n_words, {every} AS places, {base} AS base FROM f),
-  t(k, label, words) AS (VALUES {templates}), l AS (SELECT DISTINCT r, {_words_sql("line")} AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE contains(lower(line), 'licen') OR contains(lower(line), 'permi') OR contains(lower(line), 'domain') OR contains(lower(line), 'under') OR contains(lower(line), 'term') OR contains(lower(line), 'redistribut') OR contains(lower(line), 'compliance') OR contains(lower(line), 'cc')),
+  t(k, label, words) AS (VALUES {templates}), l AS (SELECT DISTINCT r, {_words_sql("line")} AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
   m AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS score FROM (SELECT r, label, len(list_intersect(lw, words)) / len(words) AS c FROM l, t) WHERE c >= {licenses.THRESHOLD} - 1e-9 GROUP BY r)
   SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score FROM g LEFT JOIN m USING (r)"""
