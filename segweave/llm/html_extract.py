@@ -38,7 +38,7 @@ FURNITURE = frozenset("nav footer aside form button dialog menu fieldset label o
 # Words of class, id or role that name page furniture.
 HINTS = frozenset(
     """
-    ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments
+    ad ads adbox adslot adsbygoogle adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments
     commentlist disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay menu menus nav
     navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe
     subscription signup login search pagination pager widget toolbar copyright legal disclaimer complementary contentinfo
