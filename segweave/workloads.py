@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import economics as E
 from .functions import exprs as X
-from .operators import codecs, transforms, vectors
+from .operators import code_symbols, codecs, profiles, transforms, vectors
 from .operators.memory import Memory
-from .plans import passes, planner
+from .plans import engine, passes, planner
 from .plans.passes import Context
 from .plans.segments import KEY, positioned, segment
 from .session import table
@@ -720,6 +720,86 @@ def anthropic_write_back(spark, sf_dir):
     return requests.written_back(results, plan, 1).select("session_id", "position", "text")
 
 
+_KEPT = f"""{CONV}, k AS (SELECT *, sum(token_count) OVER (PARTITION BY session_id ORDER BY seg_id DESC) <= 120 OR seg_id = max(seg_id) OVER (PARTITION BY session_id) AS kept FROM conv),
+  x AS (SELECT session_id, string_agg(text, chr(10)) FILTER (WHERE kept) AS context FROM k GROUP BY session_id), n AS (SELECT session_id, max_by(text, seg_id) AS needle FROM conv WHERE role = 'user' GROUP BY session_id)"""
+
+
+@query(f"WITH {_KEPT} SELECT count(*) AS items, round(avg(CASE WHEN contains(context, needle) THEN 1.0 ELSE 0.0 END), 6) AS fidelity FROM x JOIN n USING (session_id)")
+def needle_fidelity(spark, sf_dir):
+    """How often what was asked last survives truncation."""
+    s = conv_segments(spark, sf_dir)
+    context = planner.joined_context(planner.emit(s.join(planner.naive_truncation(s, 120), KEY, "left_semi"), planner.resolve(s, [])))
+    needles = s.where("role = 'user'").groupBy("session_id").agg(F.max_by("text", "position").alias("needle"))
+    found = F.contains("context", "needle").cast("double")
+    return context.join(needles, "session_id").agg(F.count("*").alias("items"), F.round(F.avg(found), 6).alias("fidelity"))
+
+
+@query(f"WITH {EVENTS} SELECT session_id, tool_class, max(seg_id)::INTEGER AS latest_turn FROM ev GROUP BY ALL")
+def session_registry(spark, sf_dir):
+    """Runs known after two turns' segments of each session have been recorded."""
+    s = event_segments(spark, sf_dir)
+    state = engine.SessionState.empty(spark).after(s.where("position % 2 = 0")).after(s.where("position % 2 = 1"))
+    return state.registry
+
+
+@query(f"WITH {DOCS} SELECT session_id, path, max_by(text, seg_id) AS text, count(*) - 1 AS version FROM docs GROUP BY session_id, path")
+def session_files(spark, sf_dir):
+    return engine.SessionState.empty(spark).after(doc_segments(spark, sf_dir)).files
+
+
+@query()
+def session_plan(spark, sf_dir):
+    s = event_segments(spark, sf_dir)
+    _, state = engine.plan_turn(engine.SessionState.empty(spark), s.where("position < 5"))
+    plan, _ = engine.plan_turn(state, s.where("position >= 5"), passes=[passes.supersession, passes.exact_dedup])
+    return planner.report(plan)
+
+
+@query()
+def frozen_prefix(spark, sf_dir):
+    return engine.frozen_prefix(conv_segments(spark, sf_dir))
+
+
+@query()
+def ast_symbols(spark, sf_dir):
+    code = F.concat(F.lit("fn load_"), F.lower(F.regexp_replace("n_name", " ", "_")), F.lit('(value: u32) -> u32 { // comment word\n  let text = "string word";\n  value }'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", code_symbols.code_symbols(code, F.lit("a.rs")).alias("symbols"))
+
+
+@query()
+def measure_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), "text")
+    return profiles.measure(files.unionByName(profiles.samples(spark)))
+
+
+@query()
+def learn_profile(spark, sf_dir):
+    return profiles.learn(profiles.measure(profiles.samples(spark)))
+
+
+@query()
+def sql_functions(spark, sf_dir):
+    """The transforms called from SQL."""
+    profiles.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("segweave_pages")
+    return spark.sql("SELECT page_id, char_length(compact_html(html)) AS chars FROM segweave_pages")
+
+
+@query()
+def embedding_salience(spark, sf_dir):
+    return passes.embedding_salience(doc_segments(spark, sf_dir), Context(TASK)).select(*KEY)
+
+
+@query("SELECT event_id, round(hit, 6) AS hit FROM (SELECT event_id, (event_id % 90) / nullif((event_id % 90) + (event_id % 7), 0) AS hit FROM events)")
+def hit_rates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(E.hit_rate(F.col("event_id") % 90, F.col("event_id") % 7), 6).alias("hit"))
+
+
+@query("SELECT item_id, CASE WHEN regexp_matches(ltrim(text), '^[{\\[]') THEN 'json' WHEN regexp_matches(left(text, 50), '[Ee]rror') OR ((length(text) + 3) // 4 < 30 AND NOT contains(left(text, 40), chr(10))) THEN 'error_short' WHEN regexp_matches(ltrim(text), '^(#|The |This |I |We |To |In )') THEN 'prose' ELSE 'other' END AS category FROM benchmark")
+def output_categories(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.output_category(F.col("text")).alias("category"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the structural and query passes over documents as sessions of file reads."""
     return planner.report(planner.make_plan(doc_segments(spark, sf_dir), TASK))
