@@ -5,10 +5,11 @@ weight); each arrival goes to a random register that keeps the shingle of the ea
 its next arrival is later than every register. Equal registers estimate probability Jaccard; bands of registers
 propose candidates and exact shingle sets decide.
 
-Equal texts share a fingerprint and enter as one node, their smallest doc_id. A bucket of a band is first linked to its
-smallest node; buckets whose nodes then lie in more than one component go on, with 16, 256, ... of their nodes compared
-to the nodes of other components, until all have been. So no bucket's pairs are emitted at once, and yet no link
-between two components is lost.
+Equal texts share a fingerprint and enter as one node, their smallest doc_id. A bucket of a band is first linked to the
+node whose buckets are fullest; buckets whose nodes then lie in more than one component go on, with 256, 16384, ... of
+their nodes compared to the nodes of other components, until all have been. A pair is emitted only if a sketch, two bits
+of each register, shows an estimate that a pair at the threshold misses less than once in a hundred thousand times. So no
+bucket's pairs are emitted as such, however large it is, and yet no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -30,6 +31,10 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 _WORD = re.compile(r"\w+")
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PRIME = np.uint64(0x100000001B3)
+#: Bits of a register in a sketch, and registers in each of its longs.
+_BITS, _IN_LONG = 2, 30
+#: Nodes of a bucket that are compared first, and the factor by which they grow.
+FIRST_LEADERS, GROWTH = 256, 64
 #: Shingles handled at once by the signature code.
 _CHUNK = 300_000
 
@@ -91,7 +96,7 @@ def prob_min_hash(h: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: in
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, fp1, fp2 (fingerprint of the words), n_shingles (distinct), band_keys (one long a band) for each row."""
+    """id, fp1, fp2 (fingerprint of the words), n_shingles (distinct), band_keys (one long a band), sketch for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -114,12 +119,38 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keys = np.full((len(n), bands), _GOLDEN) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     keys = _mix(keys * _PRIME + sig.reshape(len(n), bands, rows)[:, :, r])
+                sketch = sketches(sig)
                 fp = np.array(prints, np.uint64).view(np.int64).reshape(-1, 2)
                 flat = pa.array(keys.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(begun, at - begun), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n, pa.int32()), lists], names=["id", "fp1", "fp2", "n_shingles", "band_keys"])
+                drawn = pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, sketch.shape[1]), pa.int32()), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(begun, at - begun), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(n, pa.int32()), lists, drawn], names=["id", "fp1", "fp2", "n_shingles", "band_keys", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, fp1 long, fp2 long, n_shingles int, band_keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, fp1 long, fp2 long, n_shingles int, band_keys array<long>, sketch array<long>")
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each register, packed into longs."""
+    n, m = sig.shape
+    bits = np.zeros((n, -(-m // _IN_LONG) * _IN_LONG), np.uint64)
+    bits[:, :m] = _mix(sig ^ _MIX1) & np.uint64(2**_BITS - 1)
+    shifts = np.arange(_IN_LONG, dtype=np.uint64) * np.uint64(_BITS)
+    return (bits.reshape(n, -1, _IN_LONG) << shifts).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def unlike(a: list[Column], b: list[Column]) -> Column:
+    """Registers in which two sketches differ."""
+    out = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        d = x.bitwiseXOR(y)
+        out = out + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return out
+
+
+def most_unlike(m: int, threshold: float) -> int:
+    """Differing registers of m that a pair at the threshold exceeds less than once in a hundred thousand times."""
+    q = (1 - threshold) * (1 - 0.5**_BITS)
+    return int(m * q + 4.5 * (m * q * (1 - q)) ** 0.5) + 1
 
 
 def _jaccard(words: int):
@@ -139,84 +170,84 @@ def _jaccard(words: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id_col, class_id, n_links for every row of docs: texts chained by shingle Jaccard >= threshold share a class, named by its smallest id.
+    """id_col, class_id for every row of docs: texts chained by shingle Jaccard >= threshold share a class, named by its smallest id.
 
-    n_links counts the verified links of the row's text to other texts that held two components together or were met on
-    the way. Null text counts as empty; texts without words are alike if equal. Rows with a null id have a null class.
-    Rows that repeat an id share that id's class, the smallest over its texts. No row is lost; other columns are not read.
+    Null text counts as empty; texts without words are alike if equal. Rows with a null id have a null class. Rows that
+    repeat an id share that id's class, the smallest over its texts. No row is lost; other columns are not read.
     """
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     sig = scratch.write(signatures(docs, id_col, text_col, words, bands, rows))
     known = sig.where("id is not null")
-    nodes = scratch.write(known.groupBy("fp1", "fp2").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n_shingles")))
-    member = scratch.write(known.select("id", "fp1", "fp2").join(nodes.select("fp1", "fp2", "node"), ["fp1", "fp2"]).select("id", "node"))
-    own = scratch.write(known.join(nodes.select("fp1", "fp2", F.col("node").alias("id")), ["fp1", "fp2", "id"], "left_semi"))
-    keyed = own.select(F.explode("band_keys").alias("band"), F.col("id").alias("node"), "n_shingles")
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
-    # band, node, n_shingles, n (nodes of the bucket), first, place (a random number in [0, 1) by node)
+    nodes = known.groupBy("fp1", "fp2").agg(F.min("id").alias("node"))
+    member = scratch.write(known.select("id", "fp1", "fp2").join(nodes, ["fp1", "fp2"]).select("id", "node", "fp1", "fp2"))
+    drawn = [F.col("sketch")[k].alias(f"s{k}") for k in range(-(-bands * rows // _IN_LONG))]
+    of_node = member.where("id = node").select("id", "fp1", "fp2")
+    own = scratch.write(known.join(of_node, ["id", "fp1", "fp2"], "left_semi").select(F.col("id").alias("node"), "n_shingles", "band_keys", *drawn))
+    keyed = own.select(F.explode("band_keys").alias("band"), "node")
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("low", "high")
+    shared = keyed.join(shared, "band")
+    fullest = shared.groupBy("node").agg(F.sum("n").alias("fullness"))
+    # band, n (nodes of the bucket), and of each of its nodes the sketch, the fullness and place (a random number in [0, 1))
     place = (F.xxhash64(F.col("node") + F.lit(17)) / F.lit(2.0**64) + 0.5).alias("place")
-    cand = scratch.write(keyed.join(shared, "band").select("band", "node", "n_shingles", "n", "first", place))
-    involved = cand.select(F.col("node").alias(id_col)).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), text_col).withColumnRenamed(text_col, "t")
-    texts = scratch.write(texts.join(involved.withColumnRenamed(id_col, "node"), "node", "left_semi").dropDuplicates(["node", "t"]))
+    of_shared = own.drop("band_keys").join(fullest, "node").withColumn("place", place)
+    cand = scratch.write(shared.join(of_shared, "node"))
+    involved = cand.select("node").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("t"))
+    texts = scratch.write(texts.join(involved, "node", "left_semi").dropDuplicates(["node", "t"]))
     similar = _jaccard(words)
+    figures = ["n_shingles", *(f"s{k}" for k in range(len(drawn)))]
+    other = lambda c: f"{c}_a"
+    # A bound on Jaccard, which loses nothing, and the estimate.
+    alike = (F.least("n_shingles", other("n_shingles")) >= F.greatest("n_shingles", other("n_shingles")) * threshold) & (unlike([F.col(c) for c in figures[1:]], [F.col(other(c)) for c in figures[1:]]) <= most_unlike(bands * rows, threshold))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs(a, b), a <> b, the edges (u, v) with u > v that are links."""
         a, b = texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), texts.select(F.col("node").alias("b"), F.col("t").alias("tb"))
         judged = pairs.join(b, "b").join(a, "a").withColumn("j", similar("a", "ta", "tb"))
-        return judged.where(F.col("j") >= threshold).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        return judged.where(F.col("j") >= threshold).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
-    long_enough = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold  # noqa: E731  a bound on Jaccard: nothing is lost
-    first = cand.join(nodes.select(F.col("node").alias("first"), F.col("n_shingles").alias("n_first")).groupBy("first").agg(F.max("n_first").alias("n_first")), "first")
-    pairs = first.where("node <> first").where(long_enough(F.col("n_shingles"), F.col("n_first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    # The node whose buckets are fullest is nearest to what the bucket's others were copied from.
+    best = cand.groupBy("band").agg(F.max(F.struct("fullness", (-F.col("node")).alias("less"), *figures)).alias("m"))
+    first = cand.join(best.select("band", (-F.col("m.less")).alias("a"), *[F.col(f"m.{c}").alias(other(c)) for c in figures]), "band")
+    pairs = first.where(F.col("node") != F.col("a")).where(alike).select("a", F.col("node").alias("b")).distinct()
     tested = [scratch.write(pairs)]
-    links = [scratch.write(verified(tested[0]))]
-    roots = connected_components(links[0].distinct(), scratch)
-    done = 1
+    links = scratch.write(verified(tested[0]))
+    roots = connected_components(links, scratch)
+    done = 0
     while True:
-        state = cand.join(roots, "node", "left").select("band", "node", "n_shingles", "n", "place", F.coalesce("root", "node").alias("root"))
-        state = scratch.write(state)
+        state = cand.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = state.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most")).where("lo < hi")
-        most = mixed.agg(F.max("most")).first()[0]
-        if most is None or done >= most and done > 1:
-            scratch.drop(state)
+        live = scratch.write(state.join(mixed.select("band"), "band", "left_semi"))
+        most = live.agg(F.max("n")).first()[0]
+        if most is None or done >= most:
             break
-        upto = done * 16
-        live = state.join(mixed.select("band"), "band", "left_semi")
-        # Past the first round the share of leaders that have been compared already is left out.
+        upto = done * GROWTH or FIRST_LEADERS
+        # Nodes that were leaders of the bucket before are left out.
         share = F.col("place") * F.col("n")
-        leads = live.where((share < upto) | (F.col("n") <= upto)).where((share >= done) & (F.col("n") > done) | F.lit(done == 1))
-        leads = leads.select("band", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("root").alias("ra"))
-        pairs = live.join(leads, "band").where("root <> ra").where(long_enough(F.col("n_shingles"), F.col("na")))
+        leads = live.where(F.col("n") > done).where((share >= done) & ((share < upto) | (F.col("n") <= upto)))
+        leads = leads.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), *[F.col(c).alias(other(c)) for c in figures])
+        pairs = live.join(leads, "band").where("root <> root_a").where(alike)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+            pairs = pairs.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         tested.append(scratch.write(pairs))
-        links.append(scratch.write(verified(tested[-1])))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        old = roots
-        roots = connected_components(every.distinct(), scratch)
-        scratch.drop(old)
-        scratch.drop(state)
+        new = scratch.write(verified(tested[-1]))
+        if not new.isEmpty():
+            # Components that the new links join.
+            met = new.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
+            ends = [F.coalesce("ru", "u"), F.coalesce("rv", "v")]
+            links = scratch.write(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(met.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).where("u > v")).distinct())
+            roots = connected_components(links, scratch)
+        scratch.drop(live)
         done = upto
-    linked = links[0]
-    for more in links[1:]:
-        linked = linked.union(more)
-    linked = linked.distinct()
-    ends = linked.select(F.col("u").alias("node")).union(linked.select(F.col("v").alias("node")))
-    degrees = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     if member.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").limit(1).count():
         # An id whose rows have different words ties the nodes of all of them together.
         ties = member.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-        roots = connected_components(linked.union(ties).distinct(), scratch)
-    named = member.join(roots, "node", "left").join(degrees, "node", "left").groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(ties).distinct(), scratch)
+    named = member.join(roots, "node", "left").groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
     kind = dict(docs.dtypes)[id_col]
-    out = sig.select("id").join(named, "id", "left")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sig.select("id").join(named, "id", "left").select(F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
