@@ -86,15 +86,16 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
 def search_units(data: DataFrame, queries: DataFrame, units: DataFrame, local: Callable, k: int, score_type: str, carry: list[str]) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of the units that it names.
 
-    data(unit, id, vec, *carry), queries(id, block, vec, units array<int>), units(unit, n). local(pandas data in order of
+    data(unit, id, vec, *carry), queries(id, block, vec, units array<int>[, least]), units(unit, n). local(pandas data in order of
     id, pandas queries) -> (query numbers, data numbers, scores) of at least each query's k best rows of the part.
     """
     parts = units.select("unit", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     need = queries.select(F.col("block").alias("to"), F.explode("units").alias("unit")).distinct()
     rows = data.join(parts, "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(need, "unit")
     rows = rows.select(F.col("to").alias("block"), "unit", "part", "id", "vec", *carry)
-    asks = queries.select("block", F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.explode("units").alias("unit"))
-    asks = asks.join(parts, "unit").select("block", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "qvec")
+    more = [c for c in queries.columns if c == "least"]
+    asks = queries.select("block", F.col("id").alias("qid"), F.col("vec").alias("qvec"), *more, F.explode("units").alias("unit"))
+    asks = asks.join(parts, "unit").select("block", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "qvec", *more)
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
