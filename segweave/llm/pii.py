@@ -186,10 +186,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ENTITIES: list[tuple[str, str, Callable[[str, bytes], str]]] = [
     ("email", r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", _email),
     ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*)(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})", _secret),
+    ("key", r"(?<!\w)(?=[a-f]*\d)[0-9a-f]{32,}(?!\w)|(?<!\w)(?=[A-F]*\d)[0-9A-F]{32,}(?!\w)", lambda m, key: reformat(m, key, "secret", hexadecimal=True)),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)", _iban),
-    ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)", _ip),
+    ("ip", rf"(?<!\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)", _ip),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", lambda m, key: reformat(m, key, "ssn")),
-    ("card", r"(?<![\d.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])", _card),
+    ("card", r"(?<!\d)(?<!\d[.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![.-]?\d)", _card),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
     ("name", rf"\b(?:{TITLES})\b\.?\s+[^\W\d_a-z]\w+(?:(?: |-)[^\W\d_a-z]\w+)?", _name),
 ]
