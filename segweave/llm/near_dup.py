@@ -6,10 +6,11 @@ its next arrival is later than every register. Equal registers estimate probabil
 propose candidates and exact shingle sets decide.
 
 Equal texts share a fingerprint and enter as one node, their smallest doc_id. A bucket of a band is first linked to the
-node whose buckets are fullest; buckets whose nodes then lie in more than one component go on, with 256, 16384, ... of
-their nodes compared to the nodes of other components, until all have been. A pair is emitted only if a sketch, two bits
-of each register, shows an estimate that a pair at the threshold misses less than once in a hundred thousand times. So no
-bucket's pairs are emitted as such, however large it is, and yet no link between two components is lost.
+node whose buckets are fullest; in buckets whose nodes then lie in more than one component
+all nodes of different components are compared, in pairs of parts of bounded size: the sketches of a part (two bits of
+each register) leave pairs out whose estimate is so low that a pair at the threshold shows it less than once in a hundred
+thousand times, shingle sets decide the others, and a task hands on a link for each two components that it joins. So no
+bucket's pairs become rows, however large it is, and yet no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E
 _PRIME = np.uint64(0x100000001B3)
 #: Bits of a register in a sketch, and registers in each of its longs.
 _BITS, _IN_LONG = 2, 30
-#: Nodes of a bucket that are compared first, and the factor by which they grow.
-FIRST_LEADERS, GROWTH = 256, 64
+#: Nodes of a bucket that meet in one task at most: a part, or two; and columns of shingles handled at once.
+PART, COLUMNS = 512, 4096
 #: Shingles handled at once by the signature code.
 _CHUNK = 300_000
 
@@ -169,6 +170,55 @@ def _jaccard(words: int):
     return jaccard
 
 
+def _part_links(words: int, threshold: float, figures: list[str], m: int):
+    """Links (u, v) that join the components of the nodes of one or two parts of a bucket; one for each two components."""
+    limit = most_unlike(m, threshold)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", kind="stable").reset_index(drop=True)
+        node, root, part, size = (rows[c].to_numpy() for c in ("node", "root", "part", "n_shingles"))
+        far = np.zeros((len(rows), len(rows)), np.int32)
+        for c in figures[1:]:
+            s = rows[c].to_numpy().view(np.uint64)
+            d = s[:, None] ^ s[None, :]
+            far += np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        open_pairs = (root[:, None] != root[None, :]) & (far <= limit) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]))
+        if key[1] != key[2]:
+            open_pairs &= part[:, None] != part[None, :]
+        a, b = np.nonzero(np.triu(open_pairs, 1))
+        none = pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+        if not len(a):
+            return none
+        hashes = _WordHashes()
+        used = np.unique(np.concatenate((a, b)))
+        sets = [np.unique(shingle_hashes(rows["t"].iat[i], hashes, words)) for i in used]
+        held = np.repeat(np.arange(len(used)), [len(x) for x in sets])
+        values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # Shingles of one text only can't be common.
+        keep = counts[column] > 1
+        held, column = held[keep], (np.cumsum(counts > 1) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        held, column = held[order], column[order]
+        common = np.zeros((len(used), len(used)), np.float32)
+        width = int(column[-1]) + 1 if len(column) else 0
+        for at in range(0, width, COLUMNS):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            x = np.zeros((len(used), min(COLUMNS, width - at)), np.float32)
+            x[held[lo:hi], column[lo:hi] - at] = 1
+            common += x @ x.T
+        a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+        sizes = np.array([len(x) for x in sets], np.float64)
+        both = common[a, b].astype(np.float64)
+        linked = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
+        u, v = node[used[b[linked]]], node[used[a[linked]]]
+        out = pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "x": root[used[a[linked]]], "y": root[used[b[linked]]]})
+        out = out[out["u"] != out["v"]]
+        ends = np.sort(out[["x", "y"]].to_numpy(), axis=1)
+        return out.assign(x=ends[:, 0], y=ends[:, 1]).drop_duplicates(["x", "y"])[["u", "v"]]
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id_col, class_id for every row of docs: texts chained by shingle Jaccard >= threshold share a class, named by its smallest id.
 
@@ -211,36 +261,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = cand.groupBy("band").agg(F.max(F.struct("fullness", (-F.col("node")).alias("less"), *figures)).alias("m"))
     first = cand.join(best.select("band", (-F.col("m.less")).alias("a"), *[F.col(f"m.{c}").alias(other(c)) for c in figures]), "band")
     pairs = first.where(F.col("node") != F.col("a")).where(alike).select("a", F.col("node").alias("b")).distinct()
-    tested = [scratch.write(pairs)]
-    links = scratch.write(verified(tested[0]))
+    links = scratch.write(verified(scratch.write(pairs)))
     roots = connected_components(links, scratch)
-    done = 0
-    while True:
-        state = cand.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = state.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most")).where("lo < hi")
-        live = scratch.write(state.join(mixed.select("band"), "band", "left_semi"))
-        most = live.agg(F.max("n")).first()[0]
-        if most is None or done >= most:
-            break
-        upto = done * GROWTH or FIRST_LEADERS
-        # Nodes that were leaders of the bucket before are left out.
-        share = F.col("place") * F.col("n")
-        leads = live.where(F.col("n") > done).where((share >= done) & ((share < upto) | (F.col("n") <= upto)))
-        leads = leads.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), *[F.col(c).alias(other(c)) for c in figures])
-        pairs = live.join(leads, "band").where("root <> root_a").where(alike)
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        tested.append(scratch.write(pairs))
-        new = scratch.write(verified(tested[-1]))
-        if not new.isEmpty():
-            # Components that the new links join.
-            met = new.join(roots.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
-            ends = [F.coalesce("ru", "u"), F.coalesce("rv", "v")]
-            links = scratch.write(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(met.select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v")).where("u > v")).distinct())
-            roots = connected_components(links, scratch)
-        scratch.drop(live)
-        done = upto
+    # Buckets that still hold several components: their parts meet in pairs, and only links come out.
+    state = cand.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = state.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    live = state.join(mixed, "band", "left_semi").withColumn("parts", parts).withColumn("part", F.floor(F.col("place") * F.col("parts")).cast("int"))
+    live = live.join(texts, "node").select("band", "part", "parts", "node", "root", *figures, "t")
+    # A part meets itself and every later one of its bucket.
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("one"), F.greatest("part", k).alias("two")))
+    sides = live.select("band", F.explode(meets).alias("m"), "part", "node", "root", *figures, "t").select("band", "m.one", "m.two", "part", "node", "root", *figures, "t")
+    new = scratch.write(sides.groupBy("band", "one", "two").applyInPandas(_part_links(words, threshold, figures, bands * rows), "u long, v long").distinct())
+    if not new.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new).distinct(), scratch)
     if member.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").limit(1).count():
         # An id whose rows have different words ties the nodes of all of them together.
         ties = member.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
