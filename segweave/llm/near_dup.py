@@ -1,9 +1,10 @@
 """MinHash near-dedup by ProbMinHash, banding and verification.
 
-A text's weighted five-word shingles draw exponential arrival times (a Poisson process each, its rate the shingle's
+A text's distinct five-word shingles draw exponential arrival times (a Poisson process each, its rate the shingle's
 weight); each arrival goes to a random register that keeps the shingle of the earliest, and an element stops as soon as
-its next arrival is later than every register. Equal registers estimate probability Jaccard; bands of registers
-propose candidates and exact shingle sets decide.
+its next arrival is later than every register. Equal registers estimate probability Jaccard, which is the Jaccard of
+the sets as all shingles of a text weigh the same, however often they repeat; bands of registers propose candidates and
+exact shingle sets decide.
 
 Equal texts share a fingerprint and enter as one node, their smallest doc_id. A bucket of a band is first linked to the
 node whose buckets are fullest; in buckets whose nodes then lie in more than one component
@@ -105,18 +106,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(ids):
-                begun, sets, counts, prints, size = at, [], [], [], 0
+                begun, sets, prints, size = at, [], [], 0
                 while at < len(ids) and (size == 0 or size < _CHUNK):
                     h = shingle_hashes(texts[at].as_py(), hashes, words)
                     prints.append((xxhash.xxh3_64_intdigest(h.tobytes(), seed=2), xxhash.xxh3_64_intdigest(h.tobytes(), seed=3)))
-                    u, c = np.unique(h, return_counts=True)
+                    u = np.unique(h)
                     sets.append(u)
-                    counts.append(c)
                     size += len(u)
                     at += 1
                 n = np.array([len(u) for u in sets])
-                # Repeats weigh more, but little, so that sets that are near stay near.
-                sig = prob_min_hash(np.concatenate(sets), 1.0 + np.log(np.concatenate(counts)), np.repeat(np.arange(len(n)), n), len(n), bands * rows)
+                # Equal weights: registers then agree with the probability of the sets' Jaccard, which is what is verified.
+                sig = prob_min_hash(np.concatenate(sets), np.ones(n.sum()), np.repeat(np.arange(len(n)), n), len(n), bands * rows)
                 keys = np.full((len(n), bands), _GOLDEN) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     keys = _mix(keys * _PRIME + sig.reshape(len(n), bands, rows)[:, :, r])

@@ -140,6 +140,17 @@ def test_hard_rows_of_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pairs_whose_repeats_differ_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for more, times in [(30, 30), (45, 10), (20, 60)] * 10:
+        base, passage = words(rng, 204), words(rng, more)
+        rows += [(len(rows), base), (len(rows) + 1, " ".join([base, *[passage] * times]))]
+    want = brute_classes(rows)
+    assert all(want[i] == i - i % 2 for i in want)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)
