@@ -1,17 +1,19 @@
 """License scans: exact phrases, then an exact set-similarity join of text blocks with license templates.
 
-The join asks for containment: a block (a line) matches a template if it holds at least threshold of the template's
-distinct words. Words are ordered by their frequency over the whole corpus, rarest first. With o = ceil(threshold * n)
-words needed of a template's n, a matching block must hold one of the template's n - o + 1 rarest words (prefix filter),
-have at least o distinct words (length filter), and from the places of a first common word on both sides still have o words to come
-(positional filter); survivors are verified. Templates are a bounded parameter, so the index over their prefixes is a
+The join asks for containment: a block matches a template if it holds at least threshold of the template's distinct
+words. Blocks are lines and, across line ends, all windows of twice the template's words; paragraphs of any length would
+hold a short template's words by chance. The whole text passes the filters first, since it holds all its blocks. Words
+are ordered by their frequency over the whole corpus, rarest first. With o = ceil(threshold * n) words
+needed of a template's n, a matching block must hold one of the template's n - o + 1 rarest words (prefix filter), have
+at least o distinct words (length filter), and from the places of a first common word on both sides still have o words to
+come (positional filter); survivors are verified. Templates are a bounded parameter, so the index over their prefixes is a
 small constant of each task; the corpus side is read twice, once to count words and once to join, and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +47,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
-THRESHOLD = 0.8
+THRESHOLD, WINDOW = 0.8, 2
 
 #: Of each byte: A-Z to a-z, line feeds as they are, other separators to a space; digits, a-z and all of UTF-8 past ASCII stay.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else 32 for b in range(256))
@@ -69,6 +71,8 @@ class TemplateIndex:
         sets = [(label, set(plain(text).split())) for label, text in templates]
         self.rank = {w: i for i, w in enumerate(sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = [(label, sorted(self.rank[w] for w in s)) for label, s in sets if s]
+        #: Words of each template's windows: it is found if no more words than it has stand between its own.
+        self.windows = [WINDOW * n for n in (len(plain(text).split()) for _, text in templates) if n]
         self.prefixes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, ranks) in enumerate(self.templates):
             for at in range(len(ranks) - required(len(ranks), threshold) + 1):
@@ -98,6 +102,26 @@ class TemplateIndex:
                     out[t] = common / len(ranks)
         return out
 
+    def best_window(self, words: list[bytes], t: int) -> float:
+        """The highest containment of template t in a window of the words, 0 if none matches."""
+        wanted, length = set(self.templates[t][1]), self.windows[t]
+        held: deque[tuple[int, int]] = deque()
+        counts: Counter = Counter()
+        most = 0
+        for at, word in enumerate(words):
+            r = self.rank.get(word)
+            if r not in wanted:
+                continue
+            held.append((at, r))
+            counts[r] += 1
+            while held[0][0] <= at - length:
+                _, gone = held.popleft()
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            most = max(most, len(counts))
+        return most / len(wanted) if most >= required(len(wanted), self.threshold) else 0.0
+
 
 def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
     """Occurrences over all texts of the templates' words; one row for each such word reaches the driver."""
@@ -130,11 +154,12 @@ def scan_text(text: str | None, phrases: list[tuple[bytes, str]], index: Templat
     base: set[str] = set()
     found: set[str] = set()
     score = 0.0
-    if not index.prefix_words.isdisjoint(words):
-        for line in lines.split(b"\n"):
-            for t, containment in index.match(set(line.split())).items():
-                found.add(index.templates[t][0])
-                score = max(score, containment)
+    if not index.prefix_words.isdisjoint(words) and (known := index.match(set(words))):
+        matches = [m for line in lines.split(b"\n") for m in index.match(set(line.split())).items()]
+        matches += [(t, c) for t in known if (c := index.best_window(words, t))]
+        for t, containment in matches:
+            found.add(index.templates[t][0])
+            score = max(score, containment)
     joined = b" " + b" ".join(words) + b" "
     for phrase, label in phrases:
         if phrase in joined:

@@ -58,6 +58,33 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    import textwrap
+
+    rng = __import__("random").Random(3)
+    words = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], []
+    for width in (30, 80):
+        for sign in ("", "# ", " * "):
+            for label, text in licenses.TEMPLATES:
+                body = f"{words(rng.randint(0, 9))} {text} {words(9)}"
+                rows.append((len(rows), "\n".join(sign + line for line in textwrap.wrap(body, width))))
+                want.append(label)
+                # Words in front and behind that a blank line parts from it, and a blank line in its middle.
+                half = len(text.split()) // 2
+                parted = " ".join(text.split()[:half]) + "\n\n" + " ".join(text.split()[half:])
+                rows.append((len(rows), f"{words(30)}\n\n{parted}\n\n{words(30)}"))
+                want.append(label)
+    scattered = "\n\n".join(f"{w} {words(20)}" for w in licenses.TEMPLATES[0][1].split())
+    rows.append((len(rows), scattered))
+    rows.append((len(rows), "licensed under the terms\nof the gnu general public license\nas in version 3"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert "gpl-3" in got[len(want) + 1].labels
+    for i, label in enumerate(want):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, rows[i]
+    assert (got[len(want)].labels, got[len(want)].score) == ("", 0.0)
+
+
 def test_filters_lose_no_template():
     import random
 
