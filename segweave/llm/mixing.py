@@ -146,9 +146,9 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, cells: int = CELLS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """sized(doc_id, source, size, place, cell, spot) of every row, and one row of figures for each source."""
+    """sized(doc_id, source, print, size, place, cell, spot) of every row, and one row of figures for each source."""
     key = lambda n: F.xxhash64("doc_id", "source", F.lit(seed + n))
-    sized = scratch.write(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot")))
+    sized = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("print"), size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot")))
     same = lambda a, b: a.eqNullSafe(b)
     plan = source_targets(sized, weights, share, most).withColumn("goal", F.round("target").cast("long"))
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0).cast("long")))
@@ -199,16 +199,27 @@ def taken(sized: DataFrame, plan: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return d.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
 
 
-def mix_sources(docs: DataFrame, blocks: int = BLOCKS, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source).
+def mix_sources(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shards for every row of docs(doc_id, text, source).
 
-    Null text has size 0; null is a source of its own, last in order. Rows without words take nothing. Rows that repeat
-    an id and source fall together; where the cut meets them, each gives what one would. Null ids are ids like others.
-    The result depends on the rows alone, not on their order or partitions.
+    The mix is drawn, dealt to its shards and written; taken counts the words of the row's draws there, shards the shards
+    that hold one. Null text has size 0; null is a source of its own, last in order. Rows without words take nothing. Rows
+    that repeat an id and source fall together; where the cut meets them, each gives what one would. Null ids are ids like
+    others. The result depends on the rows alone, not on their order or partitions.
     """
-    sized, plan = plan_mix(docs, Scratch(docs.sparkSession), blocks=blocks, **how)
-    t = taken(sized, plan, blocks)
-    return t.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "source")
+    sized, plan = plan_mix(docs, scratch, blocks=blocks, shards=shards, seed=seed, **how)
+    mixed = scratch.write(_drawn(docs.withColumn("print", F.xxhash64("text")), plan, blocks, shards, seed, how.get("cells", CELLS)), compression="zstd")
+    # Rows that are equal in all of the key have equal draws, and each has one in turn 0.
+    key = ["doc_id", "source", "print"]
+    words = mixed.select(*key, "shard", (F.col("turn") == 0).cast("long").alias("row"), size_of(F.col("text")).alias("words"))
+    by_key = words.groupBy(*key).agg(F.expr("sum(words) div sum(row)").alias("taken"), F.size(F.collect_set("shard")).alias("shards"))
+    by_key = by_key.withColumnsRenamed({n: f"of_{n}" for n in key})
+    same = [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in key]
+    figures = plan.select("s", "source_size", "target")
+    t = sized.join(by_key, same[0] & same[1] & same[2], "left").join(figures, F.col("source").eqNullSafe(F.col("s")), "left")
+    return t.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", F.lit(0)).alias("shards"))
 
 
 def mixed_rows(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
@@ -216,10 +227,15 @@ def mixed_rows(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed
 
     A document that the cut meets gives the words that it is cut to, and its white space between them.
     """
+    _, plan = plan_mix(docs, Scratch(docs.sparkSession), blocks=blocks, shards=shards, seed=seed, **how)
+    return _drawn(docs, plan, blocks, shards, seed, how.get("cells", CELLS)).drop("turn")
+
+
+def _drawn(docs: DataFrame, plan: DataFrame, blocks: int, shards: int, seed: int, cells: int) -> DataFrame:
+    """The rows of mixed_rows(), with turn (the pass of the draw)."""
     names = docs.columns
-    sized, plan = plan_mix(docs, Scratch(docs.sparkSession), blocks=blocks, shards=shards, seed=seed, **how)
     key = lambda n: F.xxhash64("doc_id", "source", F.lit(seed + n))
-    full = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(how.get("cells", CELLS))).alias("cell"), key(2).alias("spot"))
+    full = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot"))
     t = taken(full, plan, blocks).where("size > 0")
     passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: F.struct(p.alias("turn"), F.col("size").alias("words")))).otherwise(F.array().cast("array<struct<turn:bigint,words:bigint>>"))
     last = F.when(F.col("part") > 0, F.array(F.struct(F.col("passes").alias("turn"), F.col("part").alias("words")))).otherwise(F.array().cast("array<struct<turn:bigint,words:bigint>>"))
@@ -231,6 +247,6 @@ def mixed_rows(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("d.words").cast("int") + F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
     body = F.when(F.col("d.words") == F.col("size"), text).otherwise(cut)
     columns = [body.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names]
-    out = draws.select(*columns, shard.alias("shard"), F.xxhash64("doc_id", "source", "d.turn", F.lit(seed + 3)).alias("shuffle_key"))
+    out = draws.select(*columns, F.col("d.turn").alias("turn"), shard.alias("shard"), F.xxhash64("doc_id", "source", "d.turn", F.lit(seed + 3)).alias("shuffle_key"))
     # Each shard is PARTS partitions that hold random documents of it, each in random order.
     return out.repartition("shard", F.pmod("shuffle_key", F.lit(PARTS))).sortWithinPartitions("shard", "shuffle_key")

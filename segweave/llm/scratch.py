@@ -22,11 +22,11 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/segweave-{uuid.uuid4().hex}"
         self.made = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """df's rows, read back from a table of their own."""
+    def write(self, df: DataFrame, compression: str | None = None) -> DataFrame:
+        """df's rows, read back from a table of their own; compression: other than the session's."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -78,6 +78,26 @@ def test_mixed_rows_are_what_is_taken(sources):
     assert mixing.mixed_rows(docs(sources.sparkSession, [])).count() == 0 and mixing.mix_sources(docs(sources.sparkSession, [])).count() == 0
 
 
+def test_taken_and_shards_are_those_of_the_draws(sources):
+    once = sources.where("doc_id is not null and doc_id <> 5")
+    words, shards = Counter(), defaultdict(set)
+    for r in mixing.mixed_rows(once).collect():
+        words[r.doc_id] += len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text) if w])
+        shards[r.doc_id].add(r.shard)
+    got = mixing.mix_sources(once).collect()
+    assert len(got) == once.count() and {(r.doc_id, r.taken, r.shards) for r in got} == {(r.doc_id, words[r.doc_id], len(shards[r.doc_id])) for r in got}
+    assert {r.shards for r in got} == {0, 1, 2}
+
+
+def test_rows_that_repeat_an_id_take_what_is_theirs(spark):
+    rng = random.Random(4)
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b c d e f", "s"), (None, "x y", "s"), (None, "x y", None), (2, None, "s"), (3, words(rng, 9), None)]
+    df = docs(spark, rows)
+    got = mixing.mix_sources(df, most=3.0, share=2.0, weights=(1,)).collect()
+    drawn = mixing.mixed_rows(df, most=3.0, share=2.0, weights=(1,)).select(F.sum(mixing.size_of(F.col("text")))).first()[0]
+    assert len(got) == 7 and sum(r.taken for r in got) == drawn and len({r.taken for r in got if (r.doc_id, r.size) == (1, 3)}) == 1
+
+
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
     quotas = [4000, 2500, 100, 0, 7]
     leaves = [r.quotas for r in mixing.shard_quotas(spark.createDataFrame([(quotas,)], "quotas array<long>"), 8).collect()]
