@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, near duplicates, PII, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; between stages the rows are written as Parquet and
-read again. The first four return the columns of documents, the last the pieces and their places in the sequences.
+read again. The first four return the columns of documents, the last the pieces, their ids and their places in the sequences.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens and their places in sequences."""
+    """Pieces of the documents' tokens, with their ids and their places in sequences."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack_sequences(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [

@@ -5,7 +5,8 @@ partitions of a bounded number of pieces. Dual feasible functions bound each par
 partition that meets its bound is proven optimal and settled. The others settle their full sequences and exchange the
 documents of the rest: these meet in new partitions, dealt anew, and are packed again, for a few rounds.
 
-Only lengths and places are shuffled. The ids of a word are cached as bytes, so a text's ids are one join of bytes.
+Packing itself shuffles lengths and places only; at the end each piece's ids meet its place, and that table is written.
+The ids of a word are cached as bytes, so a text's ids are one join of bytes.
 """
 
 from __future__ import annotations
@@ -82,14 +83,17 @@ class _Cache(dict):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, lot for each piece of docs(doc_id, text); lot is a random number to deal by."""
+    """row, doc_id, piece, start, ids, length, lot for each piece of docs(doc_id, text).
+
+    ids are little-endian 32-bit numbers; row tells the pieces of one written table apart, lot is a random number to deal by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, step = WordPieceIds(tokenizer), capacity * 4
         task = TaskContext.get().partitionId()
         n = 0
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
+            row, piece, start, length, parts = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 ids = ids_of(text.as_py() or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), step)):
@@ -98,15 +102,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                     piece.append(k)
                     start.append(at // 4)
                     length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    parts.append(part)
             lot = [zlib.crc32(struct.pack("<QQ", task, n + i)) for i in range(len(row))]
+            at = pa.array(range((task << 40) + n, (task << 40) + n + len(row)), pa.int64())
             n += len(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(lot, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "lot"],
+                [at, batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(parts, pa.binary()), pa.array(length, pa.int64()), pa.array(lot, pa.int64())],
+                names=["row", "doc_id", "piece", "start", "ids", "length", "lot"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, lot long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, ids binary, length long, lot long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -188,12 +193,22 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, g
     return packed
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified for each piece of docs(doc_id, text).
+def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, ids for each piece of docs(doc_id, text).
 
+    A written table: the ids (little-endian 32-bit numbers) of a sequence's pieces in order of offset are the sequence.
     Null text is empty: a piece of one token, the end mark 0. Null ids and repeated rows are documents like others, each
     packed by itself; an empty table gives no rows. tokenizer is the path of a tokenizer file that every executor has.
     """
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    return pack_pieces(scratch.write(token_pieces(docs, tokenizer, capacity)), scratch, capacity, group, rounds)
+    pieces = scratch.write(token_pieces(docs, tokenizer, capacity), compression="zstd")
+    places = pack_pieces(pieces.select("row", "length", "lot"), scratch, capacity, group, rounds).drop("length")
+    packed = scratch.write(pieces.drop("lot", "length").join(places, "row").drop("row"), compression="zstd")
+    length, crc = F.floor(F.octet_length("ids") / 4).alias("length"), F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "piece", "start", length, crc, "sequence_id", "offset", "certified", "ids")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """The figures of pack_sequences(): its columns but the ids, of which length and ids_crc32 are taken."""
+    return pack_sequences(docs, tokenizer, capacity, group, rounds).drop("ids")

@@ -276,6 +276,23 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_sequences_hold_the_ids(spark):
+    rng = random.Random(7)
+    texts = [words(rng, rng.randint(1, 3000)) for _ in range(30)]
+    rows = packing.pack_sequences(docs(spark, [*((i % 20, t) for i, t in enumerate(texts)), (None, None)]), TOKENIZER).collect()
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = Counter()
+    for t in [*texts, ""]:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want.update(tuple(ids[at : at + packing.CAPACITY]) for at in range(0, len(ids), packing.CAPACITY))
+    sequences = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(sequences[r.sequence_id]) == r.offset
+        sequences[r.sequence_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert Counter(tuple(sequences[r.sequence_id][r.offset : r.offset + r.length]) for r in rows) == want
+    assert max(map(len, sequences.values())) <= packing.CAPACITY
+
+
 def test_exchange_between_partitions(spark):
     from segweave.llm.scratch import Scratch
 
