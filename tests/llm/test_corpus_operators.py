@@ -230,6 +230,20 @@ def test_neighbours_recall_and_scores(vectors):
     assert np.mean(hits) >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
+def test_neighbours_among_thousands_of_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = rng.permutation(7000)[:3000]
+    x[hot] = x[hot[0]]
+    got = defaultdict(list)
+    near = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
+    for r in ann.search_neighbours(near).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in [int(i) for i in hot if i % 20 == 0]:
+        assert got[q] == [int(i) for i in np.sort(hot) if i != q][:20], q
+
+
 def test_small_and_empty_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (3, [1.0, 1.0], 0)], VEC)
     assert [tuple(r) for r in topk.top_k(few).orderBy("query_id", "rank").collect()] == [(0, 1, 3, 65536), (0, 2, 50, 0), (50, 1, 3, 65536), (50, 2, 0, 0)]
