@@ -43,6 +43,7 @@ GIVEN_NAMES = [
     "Γιώργος Νίκος Κώστας Γιάννης Δημήτρης Πέτρος".split(),
     "Μαρία Ελένη Αικατερίνη Σοφία Άννα Βασιλική".split(),
 ]
+_GIVEN = {name for names in GIVEN_NAMES for name in names}
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа|κ|κα"
 
 _CLASS_OF = {c: (f"{name}", i) for name, pair in SCRIPTS.items() for letters in pair for i, c in enumerate(letters)} | {c: ("digit", i) for i, c in enumerate(DIGITS)}
@@ -121,6 +122,14 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def walk(x: str, step: Callable[[str], str], taken: Callable[[str], bool]) -> str:
+    """step(x), and on from there while the result is taken by other entities; still a permutation of all that aren't taken."""
+    x = step(x)
+    while taken(x):
+        x = step(x)
+    return x
+
+
 def _email(m: str, key: bytes) -> str:
     local, _, domain = m.rpartition("@")
     # The name of the domain is replaced too; its last label is the format.
@@ -143,21 +152,36 @@ def _phone(m: str, key: bytes) -> str:
     return reformat(m, key, "phone", fixed=lambda i: i < kept)
 
 
-def _card(m: str, key: bytes) -> str:
+def _valid_card(m: str) -> bool:
     digits = re.sub(r"\D", "", m)
-    if luhn_digit(digits[:-1]) != digits[-1]:
-        return reformat(m, key, "number")
+    return luhn_digit(digits[:-1]) == digits[-1]
+
+
+def _card(m: str, key: bytes) -> str:
+    if not _valid_card(m):
+        return walk(m, lambda x: reformat(x, key, "number"), _valid_card)
     # A valid number gets a valid one: all but the check digit are permuted.
     last = max(i for i, c in enumerate(m) if c.isdigit())
     body = reformat(m, key, "card", fixed=lambda i: i == last)
     return body[:last] + luhn_digit(re.sub(r"\D", "", body[:last])) + body[last + 1 :]
 
 
+def _iban_check(m: str) -> str:
+    """The check digits that the IBAN's other characters ask for."""
+    plain = re.sub(r"\s", "", m[4:]) + m[:2] + "00"
+    return f"{98 - int(''.join(str(int(c, 36)) for c in plain)) % 97:02d}"
+
+
+def _valid_iban(m: str) -> bool:
+    return m[2:4] == _iban_check(m)
+
+
 def _iban(m: str, key: bytes) -> str:
+    if not _valid_iban(m):
+        # Its check digits are its own, and no valid one's surrogate is met.
+        return walk(m, lambda x: reformat(x, key, "account", fixed=lambda i: i < 2), _valid_iban)
     body = reformat(m, key, "iban", fixed=lambda i: i < 4)
-    plain = re.sub(r"\s", "", body[4:]) + body[:2] + "00"
-    check = 98 - int("".join(str(int(c, 36)) for c in plain)) % 97
-    return f"{body[:2]}{check:02d}{body[4:]}"
+    return body[:2] + _iban_check(body) + body[4:]
 
 
 def _secret(m: str, key: bytes) -> str:
@@ -177,7 +201,7 @@ def _name(m: str, key: bytes) -> str:
                 out.append(names[_permutation(key, f"given|{k}", len(names))(names.index(word))])
                 break
         else:
-            out.append(reformat(word, key, "name"))
+            out.append(walk(word, lambda x: reformat(x, key, "name"), _GIVEN.__contains__))
     return title + "".join(out)
 
 
@@ -200,6 +224,8 @@ _MAKERS = {kind: make for kind, _, make in ENTITIES}
 _SIGN = re.compile(rf"[@\d]|(?i:token|key|secret|passw)|\b(?:{TITLES})\b")
 #: Entities whose surrogates a task keeps.
 CACHE = 100_000
+#: Further keys tried for an entity whose surrogate another one of its text has.
+TWEAKS = 20
 
 
 def find_entities(text: str | None) -> list[tuple[int, int, str]]:
@@ -228,15 +254,18 @@ class Pseudonymizer:
         if not found:
             return text, []
         parts, done, at = [], [], 0
+        owner: dict[tuple[str, str], str] = {}
         for start, end, kind in found:
             entity = text[start:end]
-            new = self.surrogate(kind, entity)
+            new, turn = self.surrogate(kind, entity), 0
+            # Where formats overlap, as secrets of hexadecimal and of other letters do, a later entity gives way.
+            while owner.setdefault((kind, new), entity) != entity and turn < TWEAKS:
+                turn += 1
+                new = _MAKERS[kind](entity, self.key + b"|%d" % turn)
             parts += (text[at:start], new)
             done.append((kind, entity, new))
             at = end
         parts.append(text[at:])
-        if len({(k, n) for k, _, n in done}) != len({(k, e) for k, e, _ in done}):
-            raise ValueError("two entities of one text got the same surrogate")
         return "".join(parts), done
 
 

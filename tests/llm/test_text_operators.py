@@ -274,3 +274,23 @@ def test_hard_rows(spark, labelled):
     assert toxicity.score_toxicity(d.limit(0), labels).count() == 0
     kept = toxicity.drop_toxic(d.union(odd), labels)
     assert kept.columns == d.columns and kept.where("doc_id = 1003").count() == 0 and kept.where("doc_id = 1000").count() == 1
+
+
+def test_ibans_that_differ_in_check_digits_stay_apart(spark):
+    entities = [f"AB{n:02d} 3456 7890" for n in range(100)] + [f"DE{n:02d}370400440532013000" for n in range(100)]
+    p = pii.Pseudonymizer()
+    text, done = p.replace(" and ".join(entities))
+    assert [e for _, e, _ in done] == entities and {k for k, _, _ in done} == {"iban"}
+    assert len({n for _, _, n in done}) == 200 and all(e[:2] == n[:2] and e != n for _, e, n in done)
+    valid = [pii._valid_iban(n) for _, _, n in done]
+    assert valid == [pii._valid_iban(e) for e in entities] and sum(valid) == 2 and pii._valid_iban("DE89370400440532013000")
+    rows = docs(spark, list(enumerate(entities)))
+    assert pii.check_surrogates(rows).count() == 0 and pii.pseudonymize(rows).count() == 200
+
+
+def test_no_name_takes_the_surrogate_of_a_given_one():
+    import itertools
+
+    names = ["".join(x).title() for x in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4)]
+    made = {pii._name(f"Mr {n}", b"k") for n in names}
+    assert len(made) == len(names)
