@@ -36,8 +36,9 @@ class Memory:
         """
         hashed = items.withColumn("content_hash", F.sha2("content", 256))
         new = hashed.groupBy("content_hash").agg(F.min_by("content", "ord").alias("content"), F.min("ord").alias("ord")).join(self.memories.select("content_hash"), "content_hash", "left_anti")
-        top = self.memories.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = numbered_by(new, "ord").select((F.col("number") + top).alias("id"), "content", "content_hash", F.current_timestamp().alias("created_at"))
+        # One row: the highest id so far.
+        top = self.memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+        numbered = numbered_by(new, "ord").crossJoin(F.broadcast(top)).select((F.col("number") + F.col("top")).alias("id"), "content", "content_hash", F.current_timestamp().alias("created_at"))
         memories = self.memories.unionByName(numbered)
         sources = hashed.select("content_hash", "source").distinct().join(memories.select("content_hash", F.col("id").alias("memory_id")), "content_hash").select("memory_id", "source")
         return Memory(memories, self.provenance.unionByName(sources).distinct())
@@ -58,8 +59,8 @@ class Memory:
 
     def stats(self) -> DataFrame:
         """memories, sources: how many there are of each."""
-        n = self.memories.agg(F.count("*").alias("memories"))
-        return n.withColumn("sources", F.lit(self.provenance.agg(F.count_distinct("source")).first()[0]))
+        both = self.memories.select(F.lit(1).alias("one"), F.lit(None).cast("string").alias("source")).unionByName(self.provenance.select(F.lit(None).cast("int").alias("one"), "source"))
+        return both.agg(F.count("one").alias("memories"), F.count_distinct("source").alias("sources"))
 
 
 def numbered_by(rows: DataFrame, key: str, span: int = 10_000) -> DataFrame:

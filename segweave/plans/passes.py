@@ -11,14 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DEDUP_KINDS, DROPPABLE_KINDS, has_conclusion, symbols, token_count
 from ..operators import codecs
 from ..operators.transforms import symbols_of
 from ..operators.vectors import hash_embedding
-from ..shared import written
+from ..shared import discard, written
 from .segments import KEY
 
 PROPOSAL = "session_id string, seg_id long, action string, reason string, rendered string, new_tokens int, reconstruct string, base_id long"
@@ -85,16 +85,25 @@ def envelope_dedup(segments: DataFrame, ctx: Context) -> DataFrame:
     """Tool outputs that are small deltas of an earlier one; the smallest delta, of several the earliest base.
 
     Accepted if the delta has less than share of the output's tokens. A delta holds every line that the base lacks, so a
-    base whose lines leave more than that can't be accepted and isn't compared; only bases that share a line are met.
+    base whose lines leave more than that can't be accepted and isn't compared. Such a base holds at least one of the
+    output's rarest lines that together have that many tokens; only bases that share one of these are met, so that lines
+    which every output has bring none together.
     """
     share = ctx.options.get("envelope_share", 0.6)
     outputs = segments.where("kind = 'tool_output'").select(*KEY, "position", "text", "token_count")
-    lines = outputs.select(*KEY, "position", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).withColumn("line_hash", F.xxhash64("line")).withColumn("size", F.char_length("line")).drop("line")
+    lines = outputs.select(*KEY, "position", "token_count", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
+    lines = written(lines.select(*KEY, "position", "token_count", F.xxhash64("line").alias("line_hash"), F.char_length("line").alias("size")))
+    frequency = lines.groupBy("session_id", "line_hash").agg(F.count("*").alias("holders")).where("holders > 1")
+    rarest = Window.partitionBy(*KEY).orderBy("holders", "line_hash").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.join(frequency, ["session_id", "line_hash"], "left").withColumn("holders", F.coalesce("holders", F.lit(1).cast("long")))
+    counted = counted.withColumn("rarer", F.coalesce(F.sum("size").over(rarest), F.lit(0)))
+    prefix = counted.where((F.col("holders") > 1) & (F.col("rarer") / 4 < share * F.col("token_count"))).select(*KEY, "position", "line_hash")
     earlier = lines.select("session_id", F.col("seg_id").alias("base_id"), F.col("position").alias("base_position"), "line_hash")
-    shared = lines.join(earlier, ["session_id", "line_hash"]).where("base_position < position")
-    shared = shared.groupBy(*KEY, "base_id", "base_position").agg(F.sum("size").alias("kept"), F.count("*").alias("n"))
-    distinct = lines.groupBy(*KEY).agg(F.sum("size").alias("all_size"))
-    near = shared.join(distinct, KEY).join(outputs.select(*KEY, "token_count"), KEY).where((F.col("all_size") - F.col("kept")) / 4 < share * F.col("token_count"))
+    met = prefix.join(earlier, ["session_id", "line_hash"]).where("base_position < position").select(*KEY, "base_id", "base_position").distinct()
+    shared = met.join(lines, KEY).join(earlier.drop("base_position"), ["session_id", "base_id", "line_hash"])
+    shared = shared.groupBy(*KEY, "base_id", "base_position").agg(F.sum("size").alias("kept"))
+    distinct = lines.groupBy(*KEY, "token_count").agg(F.sum("size").alias("all_size"))
+    near = shared.join(distinct, KEY).where((F.col("all_size") - F.col("kept")) / 4 < share * F.col("token_count"))
     pairs = near.select(*KEY, "base_id", "base_position", "token_count").join(outputs.select(*KEY, "text"), KEY)
     pairs = pairs.join(outputs.select("session_id", F.col("seg_id").alias("base_id"), F.col("text").alias("base_text")), ["session_id", "base_id"])
     patched = pairs.withColumn("rendered", codecs.delta("base_text", "text")).withColumn("patch_tokens", token_count(F.col("rendered")))
@@ -133,13 +142,19 @@ def relevance_closure(segments: DataFrame, task: str) -> DataFrame:
     Each turn joins the symbols not yet met with those of the segments met last; it ends when no segment is new.
     """
     known = written(segment_symbols(segments))
-    wanted = sorted(symbols_of(task))
-    met = written(known.where(F.col("symbol").isin(wanted)).select(*KEY).distinct())
-    newest = met
+    return spread(known, written(known.where(F.col("symbol").isin(sorted(symbols_of(task)))).select(*KEY).distinct()))
+
+
+def spread(known: DataFrame, newest: DataFrame) -> DataFrame:
+    """newest(session_id, seg_id) and all that it reaches through shared symbols of known(session_id, seg_id, symbol), a written table that goes."""
+    met = written(newest)
     while not newest.isEmpty():
         reached = known.join(newest, KEY, "left_semi").select("session_id", "symbol").distinct()
         newest = written(known.join(reached, ["session_id", "symbol"], "left_semi").select(*KEY).distinct().join(met, KEY, "left_anti"))
-        met = written(met.union(newest))
+        both = written(met.union(newest))
+        discard(met)
+        met = both
+    discard(known)
     return met
 
 
@@ -151,6 +166,19 @@ def relevance(segments: DataFrame, ctx: Context) -> DataFrame:
     return _proposal(rows.join(relevance_closure(segments, ctx.task), KEY, "left_anti"), "drop", "irrelevant")
 
 
+def relevance_by_session(segments: DataFrame, how: DataFrame) -> DataFrame:
+    """As relevance, with a task and a recency of its own for each session: how(session_id, task, keep); keep null: the session is left alone."""
+    asked = how.where("keep is not null").select("session_id", "keep", symbols(F.col("task")).alias("wanted")).where(F.size("wanted") > 0)
+    asked = written(asked)
+    known = written(segment_symbols(segments.join(asked.select("session_id"), "session_id", "left_semi")))
+    seeds = asked.select("session_id", F.explode("wanted").alias("symbol"))
+    newest = written(known.join(seeds, ["session_id", "symbol"], "left_semi").select(*KEY).distinct())
+    met = spread(known, newest)
+    old = segments.where(F.col("kind").isin(DROPPABLE_KINDS)).select(*KEY, "position").join(asked.select("session_id", "keep"), "session_id")
+    old = old.join(last_positions(segments), "session_id").where(F.col("last_position") - F.col("position") >= F.col("keep"))
+    return _proposal(old.join(met, KEY, "left_anti"), "drop", "irrelevant")
+
+
 def reasoning_prune(segments: DataFrame, ctx: Context) -> DataFrame:
     """Older reasoning without a conclusion."""
     rows = segments.where("kind = 'reasoning_trace'").where(~has_conclusion(F.col("text"))).select(*KEY, "position")

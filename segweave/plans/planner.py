@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, symbols
 from ..operators import codecs
 from ..operators.transforms import symbols_of
 from ..shared import written
@@ -64,20 +62,25 @@ def enforce(segments: DataFrame, plan: DataFrame) -> DataFrame:
 def coreference(known: DataFrame) -> DataFrame:
     """session_id, seg_id, frequency: other segments that share a symbol, of known(session_id, seg_id, symbol).
 
-    A bitmap of segments for each symbol, and their union for each segment: no pair of segments is ever a row.
+    A symbol's holders are one long for each 64 neighbouring segments that hold some, a rare symbol's a few numbers; what a
+    segment meets is the union of its symbols' longs, so no pair of segments is ever a row.
     """
-    rows = known.select(*KEY, "symbol", F.bitmap_bucket_number("seg_id").alias("bucket"), F.bitmap_bit_position("seg_id").alias("bit"))
-    holders = rows.groupBy("session_id", "symbol", "bucket").agg(F.bitmap_construct_agg("bit").alias("holders"))
-    unions = known.join(holders, ["session_id", "symbol"]).groupBy(*KEY, "bucket").agg(F.bitmap_or_agg("holders").alias("m"))
-    return unions.groupBy(*KEY).agg((F.sum(F.bitmap_count("m")) - 1).alias("frequency"))
+    bit = F.expr("shiftleft(1L, int(pmod(seg_id, 64)))")
+    holders = known.groupBy("session_id", "symbol", F.expr("seg_id div 64").alias("block")).agg(F.bit_or(bit).alias("holders"))
+    unions = known.join(holders, ["session_id", "symbol"]).groupBy(*KEY, "block").agg(F.bit_or("holders").alias("m"))
+    return unions.groupBy(*KEY).agg((F.sum(F.bit_count("m")) - 1).alias("frequency"))
 
 
-def priorities(segments: DataFrame, task: str) -> DataFrame:
-    """session_id, seg_id, future_need, frequency, priority of every segment."""
+def priorities(segments: DataFrame, task: str, tasks: DataFrame | None = None) -> DataFrame:
+    """session_id, seg_id, future_need, frequency, priority of every segment; tasks(session_id, task): tasks of their own."""
     known = written(segment_symbols(segments))
     summaries = segments.where("kind = 'compact_summary'").select(*KEY)
     plans = known.join(summaries, KEY, "left_semi").select("session_id", "symbol")
-    needed = known.where(F.col("symbol").isin(sorted(symbols_of(task)))).select(*KEY).union(known.join(plans.distinct(), ["session_id", "symbol"], "left_semi").select(*KEY)).distinct().withColumn("future_need", F.lit(1))
+    if tasks is None:
+        asked = known.where(F.col("symbol").isin(sorted(symbols_of(task)))).select(*KEY)
+    else:
+        asked = known.join(tasks.select("session_id", F.explode(symbols(F.col("task"))).alias("symbol")), ["session_id", "symbol"], "left_semi").select(*KEY)
+    needed = asked.union(known.join(plans.distinct(), ["session_id", "symbol"], "left_semi").select(*KEY)).distinct().withColumn("future_need", F.lit(1))
     rows = segments.select(*KEY, "position").join(needed, KEY, "left").join(coreference(known), KEY, "left")
     rows = rows.select(*KEY, "position", F.coalesce("future_need", F.lit(0)).alias("future_need"), F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
     return rows.withColumn("priority", F.col("future_need") * F.lit(FUTURE).cast("long") + F.col("frequency") * FREQUENT + F.col("position"))
@@ -88,12 +91,22 @@ def evict(segments: DataFrame, plan: DataFrame, task: str, budget: int, floor: f
 
     floor raises a session's budget to that share of its tokens.
     """
+    return _evicted(plan, priorities(segments, task), budget, floor)
+
+
+def evict_by_session(segments: DataFrame, plan: DataFrame, tasks: DataFrame, budget: int, floor: float = 0.0) -> DataFrame:
+    """As evict, with a task of its own for each session: tasks(session_id, task)."""
+    return _evicted(plan, priorities(segments, "", tasks), budget, floor)
+
+
+def _evicted(plan: DataFrame, ranks: DataFrame, budget: int, floor: float) -> DataFrame:
     totals = plan.groupBy("session_id").agg(F.sum(F.expr(ACTION_TOKENS)).alias("net"), F.sum("token_count").alias("input"))
     limit = F.greatest(F.lit(budget), F.ceil(F.col("input") * floor)) if floor else F.lit(budget)
     over = totals.select("session_id", "net", limit.alias("budget")).where("net > budget")
-    rows = plan.join(priorities(segments, task).select(*KEY, "priority"), KEY).join(over, "session_id")
-    before = F.sum(F.expr(ACTION_TOKENS)).over(Window.partitionBy("session_id").orderBy("priority", "seg_id").rowsBetween(Window.unboundedPreceding, -1))
-    gone = rows.where("mutation_class <> 'frozen' and action <> 'drop'").withColumn("before", F.coalesce(before, F.lit(0))).where("net - before > budget").select(*KEY, F.lit(True).alias("gone"))
+    tokens = F.expr(ACTION_TOKENS)
+    rows = plan.where("mutation_class <> 'frozen' and action <> 'drop'").select(*KEY, tokens.alias("tokens")).join(ranks.select(*KEY, "priority"), KEY).join(over, "session_id")
+    before = F.sum("tokens").over(Window.partitionBy("session_id").orderBy("priority", "seg_id").rowsBetween(Window.unboundedPreceding, -1))
+    gone = rows.withColumn("before", F.coalesce(before, F.lit(0))).where("net - before > budget").select(*KEY, F.lit(True).alias("gone"))
     out = plan.join(gone, KEY, "left")
     away = F.coalesce("gone", F.lit(False))
     return out.select(*[F.when(away, {"action": "drop", "reason": "evicted"}.get(c)).otherwise(F.col(c)).alias(c) if c in ("action", "reason") else F.when(~away, F.col(c)).alias(c) if c in ("rendered", "new_tokens", "reconstruct", "base_id") else F.col(c) for c in plan.columns])
@@ -107,6 +120,7 @@ def make_plan(segments: DataFrame, task: str = "", budget: int | None = None, pa
     """
     ctx = ctx or Context(task)
     ctx.task = ctx.task or task
+    segments = written(segments)  # every pass reads the columns that it needs of one table
     plan = enforce(segments, resolve(segments, [p(segments, ctx) for p in (STRUCTURAL + QUERY if passes is None else passes)]))
     if budget is not None:
         plan = evict(segments, plan, ctx.task, budget, floor)
@@ -117,11 +131,13 @@ def make_plan(segments: DataFrame, task: str = "", budget: int | None = None, pa
 
 def emit(segments: DataFrame, plan: DataFrame) -> DataFrame:
     """session_id, ordinal, seg_id, text, tokens of what survives: frozen, slow, fast, each in order of position."""
-    rows = segments.select(*KEY, "position", "stability_rank", "text", "token_count").join(plan.select(*KEY, "action", "rendered", "new_tokens"), KEY, "left")
-    rows = rows.where(F.coalesce("action", F.lit("keep")) != "drop")
+    actions = plan.select(*KEY, "action")
+    keys = segments.select(*KEY, "position", "stability_rank").join(actions, KEY, "left").where(F.coalesce("action", F.lit("keep")) != "drop")
     order = Window.partitionBy("session_id").orderBy("stability_rank", "position")
-    new = F.col("action") == "replace"
-    return rows.select("session_id", (F.row_number().over(order) - 1).alias("ordinal"), "seg_id", F.when(new, F.col("rendered")).otherwise(F.col("text")).alias("text"), F.when(new, F.col("new_tokens")).otherwise(F.col("token_count")).alias("tokens"))
+    ordered = keys.select(*KEY, "action", (F.row_number().over(order) - 1).alias("ordinal"))
+    rows = ordered.join(segments.select(*KEY, "text", "token_count"), KEY).join(plan.where("action = 'replace'").select(*KEY, "rendered", "new_tokens"), KEY, "left")
+    new = F.coalesce(F.col("action") == "replace", F.lit(False))
+    return rows.select("session_id", "ordinal", "seg_id", F.when(new, F.col("rendered")).otherwise(F.col("text")).alias("text"), F.when(new, F.col("new_tokens")).otherwise(F.col("token_count")).alias("tokens"))
 
 
 def joined_context(emitted: DataFrame) -> DataFrame:
@@ -153,7 +169,3 @@ def compress(segments: DataFrame, task: str = "", budget: int | None = None, **h
     """(emitted, report) of the whole pipeline."""
     plan = written(make_plan(segments, task, budget, **how))
     return emit(segments, plan), report(plan)
-
-
-def floor_budget(budget: int, share: float, total: int) -> int:
-    return max(budget, math.ceil(total * share))

@@ -41,6 +41,28 @@ def segment(blocks: DataFrame, counter: TokenCounter = token_count) -> DataFrame
     )
 
 
-def positioned(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """rows with position: their place in the session from 0. The window holds a session's keys, not its texts' neighbours."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - 1)
+def ranked(keys: DataFrame, *order: str, spans: int = 1) -> DataFrame:
+    """keys with position: their place from 0 in the session by order.
+
+    spans: into how many stretches of the first column of order, a number or a time, a session is cut. Each is ranked by
+    itself, and counts of those before it are added, so that no task holds a hot session whole.
+    """
+    if spans < 2:
+        return keys.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - 1)
+    lead = F.col(order[0]).cast("double")
+    cuts = keys.groupBy("session_id").agg(F.array_distinct(F.percentile_approx(lead, [k / spans for k in range(1, spans)])).alias("cuts"))
+    cut = keys.join(cuts, "session_id").withColumn("span", F.size(F.filter("cuts", lambda c: c < lead))).drop("cuts")
+    counts = cut.groupBy("session_id", "span").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("session_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("session_id", "span", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("session_id", "span").orderBy(*order))
+    return cut.withColumn("position", inside).join(starts, ["session_id", "span"]).withColumn("position", (F.col("before") + F.col("position") - 1).cast("int")).drop("span", "before")
+
+
+def positioned(rows: DataFrame, *order: str, spans: int = 1) -> DataFrame:
+    """rows with position: their place in the session from 0 by order, columns that tell the rows of a session apart.
+
+    Only keys are ranked; what else a row holds, its text above all, meets its position by key.
+    """
+    keys = ["session_id", *order]
+    return rows.join(ranked(rows.select(*keys), *order, spans=spans), keys)
