@@ -104,6 +104,29 @@ def protected_count(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit("(?U)" + PROTECTED[kind]))
 
 
+def protected_spans(text: Column) -> Column:
+    """array<struct<kind, start, end>>: protected spans of all kinds, in order of kind and place, in bytes of UTF-8; they may overlap.
+
+    What stands between a pattern's matches and the matches themselves add up to the places of both.
+    """
+    found = []
+    for kind, pattern in PROTECTED.items():
+        p = "(?U)" + pattern
+        sizes = lambda xs: F.transform(xs, lambda x: F.octet_length(x).cast("long"))
+        total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + x)
+        places = F.struct(sizes(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("hits"), sizes(F.split(text, p, -1)).alias("gaps"))
+
+        def spans(name: str):
+            def of(v: Column) -> Column:
+                start = lambda i: total(v["gaps"], i + 1) + total(v["hits"], i)
+                return F.transform(v["hits"], lambda n, i: F.struct(F.lit(name).alias("kind"), start(i).alias("start"), (start(i) + n).alias("end")))
+
+            return of
+
+        found.append(F.flatten(F.transform(F.array(places), spans(kind))))
+    return F.concat(*found)
+
+
 def looks_like_html(text: Column) -> Column:
     start = F.regexp_replace(text, r"^\s+", "")
     tags = ascii_lower(text).rlike("<html|<body|<div|<p>|<span|<table")
@@ -194,6 +217,45 @@ def uptime(seconds: Column) -> Column:
     return F.when(h > 0, F.concat(h, F.lit("h "), m, F.lit("m"))).when(m > 0, F.concat(m, F.lit("m "), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))
 
 
+def short_time(milliseconds: Column) -> Column:
+    """A time as whole µs, as ms with one decimal, or as s with two."""
+    return (
+        F.when(milliseconds < 1, F.concat(F.format_string("%.0f", milliseconds * 1000), F.lit("µs")))
+        .when(milliseconds < 1000, F.format_string("%.1fms", milliseconds))
+        .otherwise(F.format_string("%.2fs", milliseconds / 1000))
+    )
+
+
+def distinct_in_order(values: Column) -> Column:
+    """The values of an array, each where it first stands."""
+    return F.array_distinct(values)
+
+
+#: Characters of a response's head, and of its tail, that are looked through for usage figures.
+HEAD, TAIL = 2 * 1024 * 1024, 64 * 1024
+
+
+def windowed(body: Column, head: int = HEAD, tail: int = TAIL) -> tuple[Column, Column]:
+    """The head and the tail of a response: all that is ever looked through, however long it is."""
+    return F.left(body, F.lit(head)), F.right(body, F.lit(tail))
+
+
+def cache_usage(body: Column, head: int = HEAD, tail: int = TAIL) -> Column:
+    """struct(read, created): cached tokens of a response, both from its head or both from its tail; null without."""
+
+    def both(part: Column) -> Column:
+        read, created = first_number(part, "cache_read_input_tokens"), first_number(part, "cache_creation_input_tokens")
+        return F.when(read.isNotNull() & created.isNotNull(), F.struct(read.alias("read"), created.alias("created")))
+
+    return F.coalesce(*[both(p) for p in windowed(body, head, tail)])
+
+
+def tail_first_output(body: Column, head: int = HEAD, tail: int = TAIL) -> Column:
+    """Output tokens of a response: of its tail, where a stream's last figure stands, else of its head."""
+    first, last = windowed(body, head, tail)
+    return F.coalesce(output_tokens(last), output_tokens(first))
+
+
 def first_number(body: Column, key: str) -> Column:
     """The integer after the first quoted key of a response body, or null."""
     found = F.regexp_extract(body, rf'"{key}"\s*:\s*(\d+)', 1)

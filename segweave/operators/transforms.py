@@ -1,7 +1,6 @@
 """Opt-in lossy transforms of one text, which return None where they don't make it smaller.
 
-Plain functions, and the same as Arrow-batched column functions at the end. Line-based steps that SQL can state are also
-there as native expressions in operators.lines.
+Plain functions, and the same as Arrow-batched column functions at the end.
 """
 
 from __future__ import annotations
@@ -351,6 +350,17 @@ def lossy_udf(boundary: int = 3, task: str | None = None, most_chars: int = 0, m
     return text_udf(Lossy(boundary, task, most_chars, most_rows).compact)
 
 
+@F.pandas_udf(T.StringType())
+def lossy_by_row(texts: pd.Series, tasks: pd.Series, most_chars: pd.Series, most_rows: pd.Series) -> pd.Series:
+    """As lossy_udf, with a row's own task (null or empty: none) and limits."""
+    known: dict[tuple, Lossy] = {}
+    out = []
+    for t, *how in zip(texts, tasks, most_chars, most_rows, strict=True):
+        key = (how[0] or None, int(how[1]), int(how[2]))
+        out.append(None if t is None else known.setdefault(key, Lossy(3, *key)).compact(t))
+    return pd.Series(out, dtype=object)
+
+
 telegraphic_text, html_text, images_text, schema_text = text_udf(telegraphic), text_udf(compact_html), text_udf(deref_images), text_udf(slim_schema)
 
 
