@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import economics as E
 from .functions import exprs as X
-from .operators import code_symbols, codecs, profiles, transforms, vectors
+from .operators import transforms, vectors
 from .operators.memory import Memory
 from .plans import engine, passes, planner
 from .plans.passes import Context
@@ -44,7 +44,7 @@ def conv_segments(spark: SparkSession, sf_dir: str, reasoning: bool = False) ->
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "role", "text", "turn")
     kind = F.when(F.col("role") == "system", "system_prompt")
     kind = kind.when(F.col("role") == "assistant", "reasoning_trace") if reasoning else kind
-    return segment(positioned(c.withColumn("kind", kind.otherwise("conversation_turn")), "turn", "role", "text"))
+    return segment(positioned(c.withColumn("kind", kind.otherwise("conversation_turn")), "turn"))
 
 
 def doc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,17 +173,6 @@ def holdout_split(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.holdout(F.col("o_orderkey"), 0.1).alias("held_out"))
 
 
-@query("SELECT page_id, CASE WHEN e IN ('rs', 'py', 'js', 'ts', 'tsx', 'go') THEN 'code' WHEN e = 'json' THEN 'json' WHEN e = 'log' THEN 'log' ELSE 'prose' END AS class FROM (SELECT page_id, list_extract(string_split(url, '.'), -1) AS e FROM pages)")
-def file_classifier(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.file_class(F.col("url")).alias("class"))
-
-
-@query("SELECT doc_id, n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(l) AS s, len(l) AS n FROM (SELECT doc_id, string_split_regex(text, '\\|') AS l FROM documents)) GROUP BY doc_id, n")
-def row_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\|", -1).alias("l"))
-    return d.select("doc_id", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda a, s: a + F.char_length(s)).alias("chars"))
-
-
 @query(
     """SELECT event_id, CAST(regexp_extract(props, '"k"\\s*:\\s*(\\d+)', 1) AS BIGINT) AS first, list_max(list_transform(regexp_extract_all(props || props, '"k"\\s*:\\s*(\\d+)', 1), lambda x: CAST(x AS BIGINT))) AS largest FROM events"""
 )
@@ -191,11 +180,6 @@ def usage_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.first_number(F.col("props"), "k").alias("first"), X.largest_number(F.concat("props", "props"), "k").alias("largest"))
 
 
-@query("SELECT page_id, starts_with(ltrim(html), '<') AND contains(html, '>') AND (contains(html, '</') OR contains(html, '/>')) AS html_like, CASE WHEN len(regexp_extract_all(url, '\\t')) = 0 AND len(regexp_extract_all(url, ',')) = 0 THEN NULL ELSE ',' END AS delim FROM pages")
-def html_and_delimiters(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.looks_like_html(F.col("html")).alias("html_like"), X.delimiter(F.col("url")).alias("delim"))
-
-
 # passes
 
 
@@ -329,46 +313,6 @@ def naive_truncation(spark, sf_dir):
 # statistics behind the encodings
 
 
-@query("SELECT k AS n_fields, count(*) AS n FROM (SELECT len(json_keys(props)) AS k FROM events) GROUP BY k ORDER BY n DESC, k LIMIT 1")
-def modal_keyset(spark, sf_dir):
-    keys = F.size(F.json_object_keys("props")).cast("long")
-    return table(spark, sf_dir, "events").groupBy(keys.alias("n_fields")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "n_fields").limit(1)
-
-
-_LINE_COLUMNS = ["l_returnflag", "l_linestatus", "l_quantity", "l_tax"]
-
-
-@query("SELECT l_orderkey, " + ", ".join(f"count(DISTINCT {c}) = 1 AS {c}_constant" for c in _LINE_COLUMNS) + " FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3")
-def constant_columns(spark, sf_dir):
-    one = [(F.min(c) == F.max(c)).alias(f"{c}_constant") for c in _LINE_COLUMNS]
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), *one).where("n >= 3").drop("n")
-
-
-_WIDTH = """l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-  f AS (SELECT doc_id, i, string_split(line, ' ') AS f FROM l), c AS (SELECT doc_id, len(f) AS width, count(*) AS n FROM f WHERE len(f) >= 3 GROUP BY ALL),
-  w AS (SELECT doc_id, width, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, width) AS r FROM c) WHERE r = 1)"""
-
-
-def _log_widths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    f = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.lines_of(F.col("text"))).alias("line")).select("doc_id", F.split("line", " ", -1).alias("f"))
-    counts = f.where(F.size("f") >= 3).groupBy("doc_id", F.size("f").alias("width")).agg(F.count("*").alias("n"))
-    best = counts.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("width")).alias("less"))).alias("b"))
-    return f, best.select("doc_id", (-F.col("b.less")).cast("long").alias("width"), F.col("b.n").alias("n"))
-
-
-@query(f"WITH {_WIDTH} SELECT doc_id, width, n FROM w")
-def log_dominant_fields(spark, sf_dir):
-    return _log_widths(spark, sf_dir)[1]
-
-
-@query(f"WITH {_WIDTH}, v AS (SELECT f.doc_id, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS p FROM f JOIN w ON f.doc_id = w.doc_id AND len(f) = width WHERE n >= 3) SELECT doc_id, p AS place, any_value(v) AS value FROM v GROUP BY doc_id, p HAVING count(DISTINCT v) = 1")
-def log_constant_positions(spark, sf_dir):
-    f, w = _log_widths(spark, sf_dir)
-    v = f.join(w.where("n >= 3"), "doc_id").where(F.size("f") == F.col("width")).select("doc_id", F.posexplode("f").alias("place", "value"))
-    same = v.groupBy("doc_id", F.col("place").cast("long").alias("place")).agg(F.min("value").alias("value"), F.max("value").alias("other"))
-    return same.where("value = other").drop("other")
-
-
 def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every hundred orders as one JSON array."""
     row = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
@@ -376,141 +320,14 @@ def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("blob", F.to_json("rows").alias("text"))
 
 
-@query()
-def json_crush(spark, sf_dir):
-    return line_tables(spark, sf_dir).withColumn("encoded", codecs.json_crush("text")).select("blob", "encoded", codecs.round_trips("text", "encoded").alias("exact"))
-
-
-@query("SELECT l_orderkey // 100 AS blob, true AS exact FROM lineitem GROUP BY l_orderkey // 100 HAVING count(*) >= 3")
-def json_expand_check(spark, sf_dir):
-    enc = line_tables(spark, sf_dir).withColumn("encoded", codecs.json_crush("text")).where("encoded is not null")
-    return enc.select("blob", (F.to_json(F.parse_json(codecs.expand("encoded"))) == F.to_json(F.parse_json("text"))).alias("exact"))
-
-
-@query()
-def log_crush(spark, sf_dir):
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.concat_ws(" ", F.lit("INFO user"), "user_id", F.lit("did"), "event_type", "props").alias("line")))), lambda r: r["line"]), "\n")
-    logs = table(spark, sf_dir, "events").groupBy("user_id").agg(text.alias("text"))
-    return logs.withColumn("encoded", codecs.log_crush("text")).select("user_id", "encoded", codecs.round_trips("text", "encoded").alias("exact"))
-
-
-@query()
-def delta_patch(spark, sf_dir):
-    s = doc_segments(spark, sf_dir)
-    p = passes.file_delta(s, Context()).select(*KEY, "base_id", "new_tokens", "rendered")
-    bases = s.select("session_id", F.col("seg_id").alias("base_id"), F.col("text").alias("base_text"))
-    both = p.join(s.select(*KEY, "text"), KEY).join(bases, ["session_id", "base_id"])
-    return both.select(*KEY, "base_id", "new_tokens", codecs.apply_delta("base_text", "rendered").eqNullSafe(F.col("text")).alias("exact"))
-
-
-@query()
-def envelope_dedup(spark, sf_dir):
-    s = conv_segments(spark, sf_dir).withColumn("kind", F.lit("tool_output"))
-    return passes.envelope_dedup(s, Context()).select(*KEY, "base_id", "new_tokens")
-
-
 # lossy transforms
 
-_B = 3
-
-
-@query(
-    f"""WITH r AS (SELECT l_orderkey // 1000 AS blob, l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey // 1000) AS n FROM lineitem)
-  SELECT l_orderkey, l_linenumber FROM r WHERE n > 8 AND (i <= {_B} OR i > n - {_B} OR l_returnflag = 'R')"""
-)
-def lossy_json_rows(spark, sf_dir):
-    by = Window.partitionBy("blob")
-    rows = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 1000").alias("blob"), "l_orderkey", "l_linenumber", "l_returnflag")
-    rows = rows.withColumn("i", F.row_number().over(by.orderBy("l_orderkey", "l_linenumber"))).withColumn("n", F.count("*").over(by))
-    return rows.where("n > 8").where((F.col("i") <= _B) | (F.col("i") > F.col("n") - _B) | (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber")
-
-
-_LINES = """l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-  k AS (SELECT doc_id, i, line, n, i <= 3 OR i > n - 3 OR regexp_matches({low}, '{words}') AS keep FROM l WHERE n > 10)"""
-_LINES_SQL = _LINES.format(low=LOW.format("line"), words="|".join([*X.ALERTS, *WANTED]).replace(".", r"\."))
-
-
-def _line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, i, line, n, keep of documents' lines, as the query-aware line mode keeps them."""
-    ls = X.lines_of(F.col("text"))
-    l = table(spark, sf_dir, "documents").where(F.size(ls) > 2 * _B + 4).select("doc_id", F.size(ls).alias("n"), F.posexplode(ls).alias("i", "line"))
-    l = l.withColumn("i", (F.col("i") + 1).cast("long"))
-    keep = (F.col("i") <= _B) | (F.col("i") > F.col("n") - _B) | X.contains_any(F.col("line"), [*X.ALERTS, *WANTED])
-    return l.withColumn("keep", keep)
-
-
-@query(f"WITH {_LINES_SQL} SELECT doc_id, i, line FROM k WHERE keep")
-def lossy_lines(spark, sf_dir):
-    return _line_units(spark, sf_dir).where("keep").select("doc_id", "i", "line")
-
-
-@query(f"WITH {_LINES_SQL}, s AS (SELECT *, CASE WHEN keep THEN 1 ELSE 0 END AS must, count(*) FILTER (WHERE keep) OVER (PARTITION BY doc_id) AS musts, row_number() OVER (PARTITION BY doc_id, keep ORDER BY length(line) DESC, i) AS r FROM k) SELECT doc_id, i FROM s WHERE must = 1 OR r <= greatest(12 - musts, 0)")
-def cap_rows_topk(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("doc_id", "keep").orderBy(F.desc(F.char_length("line")), "i"))
-    rows = _line_units(spark, sf_dir).withColumn("r", rank).withColumn("musts", F.count_if("keep").over(Window.partitionBy("doc_id")))
-    return rows.where(F.col("keep") | (F.col("r") <= F.greatest(12 - F.col("musts"), F.lit(0)))).select("doc_id", "i")
-
-
-@query(f"WITH {_LINES_SQL}, g AS (SELECT *, sum(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM k) SELECT doc_id, CAST(island AS BIGINT) AS after_kept, count(*) AS omitted FROM g WHERE NOT keep GROUP BY doc_id, island")
-def csv_omission_runs(spark, sf_dir):
-    island = F.sum(F.col("keep").cast("int")).over(Window.partitionBy("doc_id").orderBy("i"))
-    rows = _line_units(spark, sf_dir).withColumn("after_kept", island).where(~F.col("keep"))
-    return rows.groupBy("doc_id", "after_kept").agg(F.count("*").alias("omitted"))
-
-
-@query("SELECT l_orderkey // 1000 AS blob, count(*) AS rows, least(count(*), 6) AS boundary FROM lineitem GROUP BY l_orderkey // 1000")
-def csv_boundary_rows(spark, sf_dir):
-    n = F.count("*")
-    return table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 1000").alias("blob")).agg(n.alias("rows"), F.least(n, F.lit(6)).cast("long").alias("boundary"))
-
-
-@query()
-def csv_compact(spark, sf_dir):
-    row = F.concat_ws(",", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("row")))), lambda r: r["row"]), "\n")
-    t = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 1000").alias("blob")).agg(F.concat(F.lit("order,line,part,flag\n"), lines).alias("text"))
-    return t.select("blob", transforms.csv_udf()("text").alias("compact"))
-
-
-@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')) AS chars FROM pages")
-def html_block_strip(spark, sf_dir):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<script[^>]*>.*?</script\s*>", ""), r"(?s)<!--.*?-->", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.char_length(bare).cast("long").alias("chars"))
-
-
-@query()
-def html_compact(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", transforms.html_text("html").alias("compact"))
-
-
-@query()
-def telegraphic(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", transforms.telegraphic_text("text").alias("compact"))
-
 
 @query()
 def lossy_compact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transforms.lossy_udf(3, TASK, 200, 40)("text").alias("compact"))
 
 
-@query()
-def deref_images(spark, sf_dir):
-    text = F.concat("text", F.lit(" data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\s", ""))
-    return table(spark, sf_dir, "benchmark").select("item_id", transforms.images_text(text).alias("compact"))
-
-
-@query()
-def slim_schema(spark, sf_dir):
-    schema = F.concat(F.lit('{"$schema":"x","title":"'), "n_name", F.lit('","type":"object","properties":{"title":{"type":"string","examples":["a"]}}}'))
-    return table(spark, sf_dir, "nation").select("n_nationkey", transforms.schema_text(schema).alias("slim"))
-
-
-@query()
-def skeletonize(spark, sf_dir):
-    code = F.concat(F.lit("def f_"), "n_nationkey", F.lit("(x):\n    a = x\n    b = a + 1\n    c = '"), "n_name", F.lit("'\n    return c\n"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", transforms.skeleton_text(code, F.lit("f.py")).alias("skeleton"))
-
-
 # vectors and memory
 
 
@@ -601,12 +418,6 @@ def ewma_spikes(spark, sf_dir):
     return monitors.spiking_turns(turns(spark, sf_dir)).select("session_id", "turn", F.floor(F.col("baseline") * 1000 + 0.3337).alias("baseline_thousandths"), "spiking")
 
 
-@query("SELECT count(*) AS requests, count(DISTINCT user_id) AS sessions, round(sum(value), 4) AS total, round(1 - sum(value) FILTER (WHERE event_type = 'click') / sum(value), 6) AS savings FROM events")
-def session_stats(spark, sf_dir):
-    clicks = F.sum(F.when(F.col("event_type") == "click", F.col("value")))
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("requests"), F.count_distinct("user_id").alias("sessions"), F.round(F.sum("value"), 4).alias("total"), F.round(1 - clicks / F.sum("value"), 6).alias("savings"))
-
-
 @query(
     """WITH a AS (SELECT count(*) FILTER (WHERE NOT h) AS ns, sum(p) FILTER (WHERE NOT h) AS ts, count(*) FILTER (WHERE h) AS nh, sum(p) FILTER (WHERE h) AS th FROM (SELECT o_orderkey % 10000 / 10000.0 < 0.1 AS h, o_custkey % 900 + 100 AS p FROM orders)),
   b AS (SELECT 1 - (ts / ns) / (th / nh) AS cut, 1.96 * sqrt(ts / ns / ns / pow(th / nh, 2) + pow(ts / ns, 2) / pow(th / nh, 4) * (th / nh / nh)) AS m FROM a)
@@ -638,11 +449,6 @@ def ratio_percentiles(spark, sf_dir):
     return rows.select("lang", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p90"), "most", "mean")
 
 
-@query("SELECT o_orderpriority AS category, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderpriority")
-def category_means(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-
-
 @query("SELECT conv_id, max_by(text, turn) AS task FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def last_user_text(spark, sf_dir):
     m = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("position"), "role", "text")
@@ -665,26 +471,6 @@ def mixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_segments(spark, sf_dir, reasoning=True).withColumn("session_id", F.concat(F.lit("c"), "session_id")).unionByName(event_segments(spark, sf_dir).withColumn("session_id", F.concat(F.lit("u"), "session_id")))
 
 
-@query()
-def relevance_closure(spark, sf_dir):
-    return passes.relevance_closure(doc_segments(spark, sf_dir), TASK)
-
-
-@query()
-def compress_structural(spark, sf_dir):
-    return planner.report(planner.make_plan(mixed_segments(spark, sf_dir), passes=passes.STRUCTURAL))
-
-
-@query()
-def compress_query(spark, sf_dir):
-    return planner.report(planner.make_plan(mixed_segments(spark, sf_dir), TASK))
-
-
-@query()
-def compress_budgeted(spark, sf_dir):
-    return planner.report(planner.make_plan(mixed_segments(spark, sf_dir), TASK, budget=100))
-
-
 def anthropic_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each user: a tool use and its result for each event."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), "event_id", "event_type", "props")
@@ -713,13 +499,6 @@ def openai_roundtrip(spark, sf_dir):
     return requests.openai_tool_results(openai_bodies(spark, sf_dir)).select("session_id", "position", "tool_class", "path", "text")
 
 
-@query()
-def anthropic_write_back(spark, sf_dir):
-    results = requests.anthropic_tool_results(anthropic_bodies(spark, sf_dir))
-    plan = planner.make_plan(segment(results), TASK)
-    return requests.written_back(results, plan, 1).select("session_id", "position", "text")
-
-
 _KEPT = f"""{CONV}, k AS (SELECT *, sum(token_count) OVER (PARTITION BY session_id ORDER BY seg_id DESC) <= 120 OR seg_id = max(seg_id) OVER (PARTITION BY session_id) AS kept FROM conv),
   x AS (SELECT session_id, string_agg(text, chr(10)) FILTER (WHERE kept) AS context FROM k GROUP BY session_id), n AS (SELECT session_id, max_by(text, seg_id) AS needle FROM conv WHERE role = 'user' GROUP BY session_id)"""
 
@@ -747,44 +526,11 @@ def session_files(spark, sf_dir):
     return engine.SessionState.empty(spark).after(doc_segments(spark, sf_dir)).files
 
 
-@query()
-def session_plan(spark, sf_dir):
-    s = event_segments(spark, sf_dir)
-    _, state = engine.plan_turn(engine.SessionState.empty(spark), s.where("position < 5"))
-    plan, _ = engine.plan_turn(state, s.where("position >= 5"), passes=[passes.supersession, passes.exact_dedup])
-    return planner.report(plan)
-
-
 @query()
 def frozen_prefix(spark, sf_dir):
     return engine.frozen_prefix(conv_segments(spark, sf_dir))
 
 
-@query()
-def ast_symbols(spark, sf_dir):
-    code = F.concat(F.lit("fn load_"), F.lower(F.regexp_replace("n_name", " ", "_")), F.lit('(value: u32) -> u32 { // comment word\n  let text = "string word";\n  value }'))
-    return table(spark, sf_dir, "nation").select("n_nationkey", code_symbols.code_symbols(code, F.lit("a.rs")).alias("symbols"))
-
-
-@query()
-def measure_files(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), "text")
-    return profiles.measure(files.unionByName(profiles.samples(spark)))
-
-
-@query()
-def learn_profile(spark, sf_dir):
-    return profiles.learn(profiles.measure(profiles.samples(spark)))
-
-
-@query()
-def sql_functions(spark, sf_dir):
-    """The transforms called from SQL."""
-    profiles.register(spark)
-    table(spark, sf_dir, "pages").createOrReplaceTempView("segweave_pages")
-    return spark.sql("SELECT page_id, char_length(compact_html(html)) AS chars FROM segweave_pages")
-
-
 @query()
 def embedding_salience(spark, sf_dir):
     return passes.embedding_salience(doc_segments(spark, sf_dir), Context(TASK)).select(*KEY)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from segweave import workloads
+from segweave import queries as workloads
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
