@@ -5,21 +5,22 @@ A written table cuts lineage like checkpoint() does, is computed once, and survi
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_FALLBACK = "/tmp/checkpoints/segweave"
-
+from segweave.shared import shared_folder
 
 class Scratch:
     """Writes intermediate tables below spark.checkpoint.dir and drops those that are no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-        self.root = f"{root.rstrip('/')}/segweave-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/segweave-{uuid.uuid4().hex}"
         self.made = 0
 
     def write(self, df: DataFrame, compression: str | None = None) -> DataFrame:
@@ -38,6 +39,37 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bound_batches(spark: SparkSession, most: str = "16m") -> None:
-    """Bounds the bytes of each batch that Arrow hands to Python, so that very long texts don't add up."""
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds the bytes of each batch that Arrow hands to Python, so that very long texts don't add up.
+
+    The session keeps the bound: the frames that need it are executed later, by whoever reads them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def give_back() -> None:
+    """Hands memory that nothing holds any more back to the machine: workers live on for other stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of mapInArrow or applyInPandas, that gives unused memory back: at a task's end, or after a large group."""
+    if inspect.isgeneratorfunction(run):
+
+        def tidied(batches):
+            yield from run(batches)
+            give_back()
+
+        return tidied
+
+    def tidied_group(key, rows):
+        out = run(key, rows)
+        if rows.memory_usage(deep=True).sum() > 8_000_000:
+            give_back()
+        return out
+
+    return tidied_group
