@@ -5,7 +5,8 @@ partitions of a bounded number of pieces. Dual feasible functions bound each par
 partition that meets its bound is proven optimal and settled. The others settle their full sequences and exchange the
 documents of the rest: these meet in new partitions, dealt anew, and are packed again, for a few rounds.
 
-Packing itself shuffles lengths and places only; at the end each piece's ids meet its place, and that table is written.
+Packing itself shuffles lengths and places only. The ids of all pieces are written once, each under its row number; a
+sequence is its pieces' ids in order of their places, and who asks for figures alone reads them off the written ids.
 The ids of a word are cached as bytes, so a text's ids are one join of bytes.
 """
 
@@ -23,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, bound_batches
+from .scratch import Scratch, bound_batches, tidy
 
 CAPACITY = 2048
 #: Pieces that a partition packs at once, and times that open sequences are exchanged.
 GROUP, ROUNDS = 60_000, 3
-#: Distinct words whose ids a task keeps.
-CACHE = 200_000
+#: Distinct words whose ids a task keeps, of at most LONGEST characters each.
+CACHE, LONGEST = 100_000, 40
 
 
 class WordPieceIds:
@@ -75,10 +76,12 @@ class _Cache(dict):
         self.model, self.letters = tokenizer.model, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -111,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
                 names=["row", "doc_id", "piece", "start", "ids", "length", "lot"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, ids binary, length long, lot long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, ids binary, length long, lot long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -182,7 +185,7 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, g
         last = turn == rounds - 1 or groups == 1
         dealt = left.withColumn("deal", F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(groups)))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema) + ", sequence_id long, offset long, certified boolean, settled boolean"
-        done = scratch.write(dealt.groupBy("deal").applyInPandas(_packer(capacity, turn, last), schema))
+        done = scratch.write(dealt.groupBy("deal").applyInPandas(tidy(_packer(capacity, turn, last)), schema))
         settled = done.where("settled").select(*names, "sequence_id", "offset", "certified")
         packed = settled if packed is None else packed.union(settled)
         if last:
@@ -193,22 +196,28 @@ def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, g
     return packed
 
 
-def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, ids for each piece of docs(doc_id, text).
-
-    A written table: the ids (little-endian 32-bit numbers) of a sequence's pieces in order of offset are the sequence.
-    Null text is empty: a piece of one token, the end mark 0. Null ids and repeated rows are documents like others, each
-    packed by itself; an empty table gives no rows. tokenizer is the path of a tokenizer file that every executor has.
-    """
+def _packed(docs: DataFrame, tokenizer: str, capacity: int, group: int, rounds: int) -> DataFrame:
+    """The written pieces with their places."""
     bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.write(token_pieces(docs, tokenizer, capacity), compression="zstd")
     places = pack_pieces(pieces.select("row", "length", "lot"), scratch, capacity, group, rounds).drop("length")
-    packed = scratch.write(pieces.drop("lot", "length").join(places, "row").drop("row"), compression="zstd")
     length, crc = F.floor(F.octet_length("ids") / 4).alias("length"), F.crc32("ids").alias("ids_crc32")
-    return packed.select("doc_id", "piece", "start", length, crc, "sequence_id", "offset", "certified", "ids")
+    return pieces.select("row", "doc_id", "piece", "start", length, crc, "ids").join(places, "row")
+
+
+def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified, ids for each piece of docs(doc_id, text).
+
+    The ids (little-endian 32-bit numbers) of a sequence's pieces in order of offset are the sequence. Pieces and places are
+    written tables, joined by number. Null text is empty: a piece of one token, the end mark 0. Null ids and repeated rows
+    are documents like others, each packed by itself; an empty table gives no rows. certified tells whether the partition
+    that settled a piece met its bound; after the last round those that didn't are settled as they are. tokenizer is the
+    path of a tokenizer file that every executor has.
+    """
+    return _packed(docs, tokenizer, capacity, group, rounds).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "ids")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """The figures of pack_sequences(): its columns but the ids, of which length and ids_crc32 are taken."""
+    """The figures of pack_sequences(), length and ids_crc32 taken of the written ids where they lie: ids aren't shuffled."""
     return pack_sequences(docs, tokenizer, capacity, group, rounds).drop("ids")
