@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents fall by a hash of their id into the blocks of their source; as the hash is random, the order of block numbers
-is a random permutation of the source. Each source's target buys whole passes over its blocks and a prefix of one more
-pass, whose last block is cut at finer hash cells and at last within one document, so that the words taken meet the
-target. The counts of block draws by source stand at the root of a binary tree; each node splits its counts between two
+Documents fall by a hash of their id, source and text into the blocks of their source. A source's target buys whole passes
+over its blocks and a prefix of one more; each pass takes the blocks in an order of its own, a keyed permutation. The last
+pass ends within a block, there within a finer hash cell, and at last within one document, so that the words taken meet
+the target. The counts of block draws by source stand at the root of a binary tree; each node splits its counts between two
 halves by a multivariate hypergeometric draw, and the leaves are the output shards, which take disjoint runs of each
-source's draws and are shuffled by a random key of each draw.
+source's permuted draws and are shuffled by a random key of each draw. What is taken of a document is counted from the
+rows so drawn and dealt.
 
 Only DataFrame functions run here. Per source there are at most BLOCKS block sums, so the sums behind the cut stay small
 at any size of the corpus; documents are joined only with one row of figures for each source, and text is moved once, to
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Blocks of a source, and cells of a block; shards is a power of two.
+#: Blocks of a source (a power of four), and cells of a block; shards is a power of two.
 BLOCKS, CELLS, SHARDS, SEED = 4096, 4096, 16, 11
-#: Partitions that a shard is dealt to.
-PARTS = 64
+#: Partitions that a shard is dealt to at least, and words of each beyond that.
+PARTS, PART_WORDS = 64, 16_000_000
+#: Parts in which rows that are equal in everything are counted.
+SALTS = 256
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -145,14 +148,36 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
     return nodes.select((F.col("node") - shards).alias("shard"), "quotas")
 
 
+def _keys(text: Column, seed: int, blocks: int, cells: int) -> list[Column]:
+    """print, place, cell and spot of a row: equal only for rows that are equal in id, source and text."""
+    key = lambda n: F.xxhash64("doc_id", "source", F.xxhash64(text), F.lit(seed + n))
+    return [F.xxhash64(text).alias("print"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot")]
+
+
+def permuted(place: Column, source: Column, turn: Column, blocks: int, seed: int) -> Column:
+    """The position of a block in a pass over its source: a Feistel network keyed by source, pass and seed."""
+    half = int(round(blocks**0.5))
+    if half * half != blocks:
+        raise ValueError("blocks must be a square")
+
+    def rounds(v: Column, i: int) -> Column:
+        if i == 4:
+            return v["a"] * half + v["b"]
+        mixed = F.pmod(v["a"] + F.pmod(F.xxhash64(v["b"], source, turn, F.lit(seed + 100 + i)), F.lit(half)), F.lit(half))
+        return _let({"a": v["b"], "b": mixed}, lambda w: rounds(w, i + 1))
+
+    return _let({"a": F.floor(place / half).cast("long"), "b": F.pmod(place, F.lit(half)).cast("long")}, lambda v: rounds(v, 0))
+
+
 def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, cells: int = CELLS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """sized(doc_id, source, print, size, place, cell, spot) of every row, and one row of figures for each source."""
-    key = lambda n: F.xxhash64("doc_id", "source", F.lit(seed + n))
-    sized = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("print"), size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot")))
+    sized = scratch.write(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *_keys(F.col("text"), seed, blocks, cells)))
     same = lambda a, b: a.eqNullSafe(b)
     plan = source_targets(sized, weights, share, most).withColumn("goal", F.round("target").cast("long"))
     plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0).cast("long")))
     plan = scratch.write(plan.withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size")))
+    of_source = plan.select(F.col("source").alias("s"), "passes")
+    last = sized.join(of_source, same(F.col("source"), F.col("s"))).withColumn("position", permuted(F.col("place"), F.col("source"), F.col("passes"), blocks, seed)).drop("s", "passes")
 
     def cut(rows: DataFrame, by: str, rest: DataFrame, name: str) -> DataFrame:
         """Where the sum of size along by passes rest's rest: source, name (the by at which it does) and what is left then."""
@@ -166,8 +191,8 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
         r = at.select(F.col("source").alias("s"), F.col(name).alias("v"))
         return rows.join(r, same(F.col("source"), F.col("s")) & (F.col(by) == F.col("v"))).drop("s", "v")
 
-    block = cut(sized, "place", plan, "cut_place")
-    in_block = inside(sized, block, "place", "cut_place")
+    block = cut(last, "position", plan, "cut_position")
+    in_block = inside(last, block, "position", "cut_position")
     cell = cut(in_block, "cell", block, "cut_cell")
     spot = cut(inside(in_block, cell, "cell", "cut_cell"), "spot", cell, "cut_spot")
     for extra, drop in ((block, "rest"), (cell, "rest"), (spot, None)):
@@ -175,7 +200,7 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
         e = e.withColumnRenamed("source", "s")
         plan = plan.join(e, same(F.col("source"), F.col("s")), "left").drop("s")
     # The block in which the last pass ends counts as a draw.
-    draws = F.col("passes") * blocks + F.coalesce(F.col("cut_place") + 1, F.lit(0))
+    draws = F.col("passes") * blocks + F.coalesce(F.col("cut_position") + 1, F.lit(0))
     plan = plan.withColumn("draws", draws.cast("long"))
     listed = plan.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "draws"))).alias("all"))
     leaves = shard_quotas(listed.select(F.transform("all", lambda x: x["draws"]).alias("quotas")), shards, seed)
@@ -188,15 +213,26 @@ def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     return sized, scratch.write(plan.withColumnRenamed("source", "s"))
 
 
-def taken(sized: DataFrame, plan: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """sized with source_size, target, passes, part (words of the last pass) and ends (of shards)."""
-    d = sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+def placed(rows: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """rows(source, size, place, cell, spot, ...) with their source's figures, before and at: where the cut leaves a row whole, or meets it."""
+    d = rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    d = d.withColumn("position", permuted(F.col("place"), F.col("source"), F.col("passes"), blocks, seed))
     ordered = lambda *names: F.struct(*[F.col(n) for n in names])
-    before = F.col("cut_place").isNotNull() & (ordered("place", "cell", "spot") < F.struct(F.col("cut_place").alias("place"), F.col("cut_cell").alias("cell"), F.col("cut_spot").alias("spot")))
-    at = (F.col("place") == F.col("cut_place")) & (F.col("cell") == F.col("cut_cell")) & (F.col("spot") == F.col("cut_spot"))
-    # Rows that share the cut's spot are repeats of one document, and share its words evenly.
-    part = F.when(before, F.col("size")).when(at, F.least("size", F.col("cut_words"))).otherwise(0)
-    return d.withColumn("part", F.coalesce(part, F.lit(0)).cast("long"))
+    before = ordered("position", "cell", "spot") < F.struct(F.col("cut_position").alias("position"), F.col("cut_cell").alias("cell"), F.col("cut_spot").alias("spot"))
+    at = (F.col("position") == F.col("cut_position")) & (F.col("cell") == F.col("cut_cell")) & (F.col("spot") == F.col("cut_spot"))
+    none = F.lit(False)
+    return d.withColumn("before", F.coalesce(F.col("cut_position").isNotNull() & before, none)).withColumn("at", F.coalesce(at, none))
+
+
+def numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with k: a number from 0 within their source, by counts of SALTS parts, so that no task holds them all."""
+    kept = scratch.write(rows.withColumn("row_id", F.monotonically_increasing_id()).withColumn("salt", F.pmod("row_id", F.lit(SALTS))))
+    counts = kept.groupBy("source", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("source").alias("of"), F.col("salt").alias("of_salt"), F.coalesce(before, F.lit(0)).alias("start"))
+    inside = kept.withColumn("k", F.row_number().over(Window.partitionBy("source", "salt").orderBy("row_id")) - 1)
+    joined = inside.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("of_salt")))
+    return joined.withColumn("k", F.col("k") + F.col("start")).drop("of", "of_salt", "salt", "start", "row_id")
 
 
 def mix_sources(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
@@ -204,49 +240,80 @@ def mix_sources(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, see
 
     The mix is drawn, dealt to its shards and written; taken counts the words of the row's draws there, shards the shards
     that hold one. Null text has size 0; null is a source of its own, last in order. Rows without words take nothing. Rows
-    that repeat an id and source fall together; where the cut meets them, each gives what one would. Null ids are ids like
-    others. The result depends on the rows alone, not on their order or partitions.
+    that are equal in id, source and text share what is drawn of them evenly, to a word; all others, those of one id as
+    well, are drawn by themselves. Each source's words meet its target rounded. The result depends on the rows alone, not
+    on their order or partitions.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", "source")
     sized, plan = plan_mix(docs, scratch, blocks=blocks, shards=shards, seed=seed, **how)
-    mixed = scratch.write(_drawn(docs.withColumn("print", F.xxhash64("text")), plan, blocks, shards, seed, how.get("cells", CELLS)), compression="zstd")
+    mixed = scratch.write(_drawn(docs.withColumn("print", F.xxhash64("text")), plan, scratch, blocks, shards, seed, how.get("cells", CELLS)), compression="zstd")
     # Rows that are equal in all of the key have equal draws, and each has one in turn 0.
     key = ["doc_id", "source", "print"]
-    words = mixed.select(*key, "shard", (F.col("turn") == 0).cast("long").alias("row"), size_of(F.col("text")).alias("words"))
-    by_key = words.groupBy(*key).agg(F.expr("sum(words) div sum(row)").alias("taken"), F.size(F.collect_set("shard")).alias("shards"))
+    words = mixed.select(*key, "mix_shard", (F.col("mix_turn") == 0).cast("long").alias("row"), size_of(F.col("text")).alias("words"))
+    by_key = words.groupBy(*key).agg(F.sum("words").alias("all_words"), F.expr("sum(words) div nullif(sum(row), 0)").alias("each"), F.size(F.collect_set("mix_shard")).alias("shards"))
     by_key = by_key.withColumnsRenamed({n: f"of_{n}" for n in key})
     same = [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in key]
-    figures = plan.select("s", "source_size", "target")
-    t = sized.join(by_key, same[0] & same[1] & same[2], "left").join(figures, F.col("source").eqNullSafe(F.col("s")), "left")
-    return t.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", F.lit(0)).alias("shards"))
+    t = placed(sized, plan, blocks, seed).select(*key, "size", "source_size", "target", "at").join(by_key, same[0] & same[1] & same[2], "left")
+    zero = F.lit(0).cast("long")
+    columns = ["doc_id", "size", "source_size", "target"]
+    shards_of = F.coalesce("shards", F.lit(0)).alias("shards")
+    whole = t.where("not at").select(*columns, F.coalesce("each", zero).alias("taken"), shards_of)
+    # Equal rows at the cut share its words.
+    met = numbered(t.where("at").select(*key, "size", "source_size", "target", "all_words", "shards"), scratch)
+    many = met.groupBy("source").agg(F.count("*").alias("m")).select(F.col("source").alias("of"), "m")
+    met = met.join(many, F.col("source").eqNullSafe(F.col("of")))
+    part = F.expr("coalesce(all_words, 0) div m + int(k < coalesce(all_words, 0) % m)").cast("long")
+    return whole.unionByName(met.select(*columns, part.alias("taken"), shards_of))
 
 
 def mixed_rows(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
     """docs' columns, one row for each draw of a document with words, with shard and shuffle_key; each partition is sorted by both.
 
-    A document that the cut meets gives the words that it is cut to, and its white space between them.
+    A document that the cut meets gives the words that it is cut to, and its white space between them. Where docs has
+    columns of these two names, those stay and the draw's get a further underscore.
     """
-    _, plan = plan_mix(docs, Scratch(docs.sparkSession), blocks=blocks, shards=shards, seed=seed, **how)
-    return _drawn(docs, plan, blocks, shards, seed, how.get("cells", CELLS)).drop("turn")
+    scratch = Scratch(docs.sparkSession)
+    _, plan = plan_mix(docs, scratch, blocks=blocks, shards=shards, seed=seed, **how)
+    out = _drawn(docs, plan, scratch, blocks, shards, seed, how.get("cells", CELLS))
+
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    return out.select(*docs.columns, F.col("mix_shard").alias(free("shard")), F.col("mix_key").alias(free("shuffle_key")))
 
 
-def _drawn(docs: DataFrame, plan: DataFrame, blocks: int, shards: int, seed: int, cells: int) -> DataFrame:
-    """The rows of mixed_rows(), with turn (the pass of the draw)."""
+def _drawn(docs: DataFrame, plan: DataFrame, scratch: Scratch, blocks: int, shards: int, seed: int, cells: int) -> DataFrame:
+    """docs' columns with mix_turn (the pass of the draw), mix_shard and mix_key of each draw."""
     names = docs.columns
-    key = lambda n: F.xxhash64("doc_id", "source", F.lit(seed + n))
-    full = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.pmod(key(0), F.lit(blocks)).alias("place"), F.pmod(key(1), F.lit(cells)).alias("cell"), key(2).alias("spot"))
-    t = taken(full, plan, blocks).where("size > 0")
-    passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: F.struct(p.alias("turn"), F.col("size").alias("words")))).otherwise(F.array().cast("array<struct<turn:bigint,words:bigint>>"))
-    last = F.when(F.col("part") > 0, F.array(F.struct(F.col("passes").alias("turn"), F.col("part").alias("words")))).otherwise(F.array().cast("array<struct<turn:bigint,words:bigint>>"))
-    draws = t.select("row", "doc_id", "source", "size", "place", "ends", F.explode(F.concat(passes, last)).alias("d"))
-    at = F.col("d.turn") * blocks + F.col("place")
-    shard = F.size(F.filter("ends", lambda e: e <= at))
+    full = docs.select(F.struct(*names).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), *_keys(F.col("text"), seed, blocks, cells)).drop("print")
+    t = placed(full, plan, blocks, seed).where("size > 0")
+    kind = "array<struct<turn:bigint,words:bigint>>"
+    passes = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: F.struct(p.alias("turn"), F.col("size").alias("words")))).otherwise(F.array().cast(kind))
+    last = F.when(F.col("before"), F.array(F.struct(F.col("passes").alias("turn"), F.col("size").alias("words")))).otherwise(F.array().cast(kind))
+    columns = ["row", "doc_id", "source", "size", "place", "ends"]
+    draws = t.select(*columns, F.explode(F.concat(passes, last)).alias("d"))
+    # Rows that the cut meets are few, or copies of one: in their turn they give their words until it is reached.
+    met = numbered(t.where("at").select(*columns, "passes", "cut_words"), scratch)
+    words = F.least(F.greatest(F.col("cut_words") - F.col("k") * F.col("size"), F.lit(0)), F.col("size")).cast("long")
+    met = met.withColumn("d", F.struct(F.col("passes").alias("turn"), words.alias("words"))).where("d.words > 0")
+    draws = draws.unionByName(met.select(*columns, "d"))
+    at = F.col("d.turn") * blocks + permuted(F.col("place"), F.col("source"), F.col("d.turn"), blocks, seed)
+    shard = F.element_at(F.transform(F.array(at), lambda x: F.size(F.filter("ends", lambda e: e <= x))), 1)
     text = F.col("row.text")
     pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("d.words").cast("int") + F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
     body = F.when(F.col("d.words") == F.col("size"), text).otherwise(cut)
-    columns = [body.alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names]
-    out = draws.select(*columns, F.col("d.turn").alias("turn"), shard.alias("shard"), F.xxhash64("doc_id", "source", "d.turn", F.lit(seed + 3)).alias("shuffle_key"))
-    # Each shard is PARTS partitions that hold random documents of it, each in random order.
-    return out.repartition("shard", F.pmod("shuffle_key", F.lit(PARTS))).sortWithinPartitions("shard", "shuffle_key")
+    of = lambda n: F.col("row").getField(n)
+    kept = [body.alias(n) if n == "text" else of(n).alias(n) for n in names]
+    if "n_chars" in names:  # what is cut has fewer
+        at_n = names.index("n_chars")
+        kind_n = dict(docs.dtypes)["n_chars"]
+        kept[at_n] = F.when((F.col("d.words") == F.col("size")) | of("n_chars").isNull(), of("n_chars")).otherwise(F.char_length(cut)).cast(kind_n).alias("n_chars")
+    out = draws.select(*kept, F.col("d.turn").alias("mix_turn"), shard.alias("mix_shard"), F.xxhash64("doc_id", "source", "d.turn", "place", F.lit(seed + 3)).alias("mix_key"))
+    # Each shard is a number of partitions that hold random documents of it, each in random order.
+    total = plan.agg(F.coalesce(F.sum("goal"), F.lit(0))).first()[0]
+    parts = max(PARTS, -(-total // (PART_WORDS * shards)))
+    return out.repartition("mix_shard", F.pmod("mix_key", F.lit(parts))).sortWithinPartitions("mix_shard", "mix_key")

@@ -98,6 +98,29 @@ def test_rows_that_repeat_an_id_take_what_is_theirs(spark):
     assert len(got) == 7 and sum(r.taken for r in got) == drawn and len({r.taken for r in got if (r.doc_id, r.size) == (1, 3)}) == 1
 
 
+def test_each_source_meets_its_target_to_the_word(spark):
+    rng = random.Random(9)
+    # Two ids in three sources, rows that are equal in everything among them, and columns with the names of internal ones.
+    rows = [(i % 2, words(rng, rng.randint(1, 9)) if i % 3 else "five words all the same", "abc"[i % 3 if i % 5 else 0]) for i in range(600)]
+    df = docs(spark, rows)
+    for c in ("place", "cell", "spot", "shard", "s", "k", "row", "at", "position"):
+        df = df.withColumn(c, F.lit("own"))
+    got = mixing.mix_sources(df)
+    by = got.join(df.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size")), "source_size").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert got.count() == 600 and len(by) == 3
+    assert all(r.taken == round(r.target) and r.over <= 0 for r in by), by
+    drawn = mixing.mixed_rows(df)
+    assert drawn.columns[: len(df.columns)] == df.columns and {"shard_", "shuffle_key"} <= set(drawn.columns)
+    assert drawn.select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in by)
+    assert drawn.where("place = 'own' and shard = 'own'").count() == drawn.count()
+
+
+def test_blocks_are_permuted_anew_in_each_pass(spark):
+    p = spark.range(64).select("id", *[mixing.permuted(F.col("id"), F.lit("a"), F.lit(turn).cast("long"), 64, 1).alias(f"p{turn}") for turn in (0, 1)]).collect()
+    assert sorted(r.p0 for r in p) == sorted(r.p1 for r in p) == list(range(64))
+    assert [r.p0 for r in p] != [r.p1 for r in p] != list(range(64))
+
+
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
     quotas = [4000, 2500, 100, 0, 7]
     leaves = [r.quotas for r in mixing.shard_quotas(spark.createDataFrame([(quotas,)], "quotas array<long>"), 8).collect()]
@@ -205,8 +228,9 @@ def test_top_k_is_exact(vectors):
     got = defaultdict(list)
     for r in topk.top_k(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    ids = np.array(list(data))
-    m = np.array(list(data.values()))
+    # The row that repeats an id is a candidate of its own.
+    ids = np.array([*data, 7])
+    m = np.array([*data.values(), data[7]])
     for q in [i for i in data if i % 50 == 0]:
         s = m @ data[q]
         order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
@@ -222,7 +246,7 @@ def test_neighbours_recall_and_scores(vectors):
     v = x.astype(np.float64)
     hits = []
     for q in range(0, 1500, 20):
-        s = v @ v[q]
+        s = np.append(v @ v[q], v[7] @ v[q])
         s[q] = -9
         assert len(got[q]) == 20 and all(abs(s[i] - score) < 1e-12 for i, score in got[q]) and q not in dict(got[q])
         kth = np.sort(s)[-20]
@@ -244,6 +268,49 @@ def test_neighbours_among_thousands_of_equal_vectors(spark):
         assert got[q] == [int(i) for i in np.sort(hot) if i != q][:20], q
 
 
+def test_recall_where_codes_decide(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 6000)] + 0.4 * rng.normal(size=(6000, 24))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
+    v = x.astype(np.float64)
+    recall = {}
+    for share in (0.3, 0.85):
+        got = defaultdict(set)
+        # Lists hold some 375 rows, of which 40 are reranked: the codes choose them.
+        for r in ann.search_neighbours(df, probe_share=share, rerank=40).collect():
+            got[r.query_id].add(r.vec_id)
+        assert all(len(g) == 20 for g in got.values()) and len(got) == 300
+        hits = [len(got[q] & set(np.argsort(-np.where(np.arange(6000) == q, -9, v @ v[q]), kind="stable")[:20].tolist())) / 20 for q in range(0, 6000, 20)]
+        recall[share] = np.mean(hits)
+    assert recall[0.85] >= 0.9 and recall[0.3] >= 0.9, recall
+
+
+def test_queries_that_the_bound_leaves_short_are_asked_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    asked = ann.search_units
+    calls = []
+
+    def cut(data, queries, *rest):
+        calls.append(queries)
+        # The first search loses rows, as codes might under the bound.
+        return asked(data, queries, *rest).where("rank <= 3 or query_id % 40 = 0") if len(calls) == 1 else asked(data, queries, *rest)
+
+    monkeypatch.setattr(ann, "search_units", cut)
+    got = ann.search_neighbours(df).groupBy("query_id").count().collect()
+    assert len(calls) == 2 and len(got) == 30 and {r["count"] for r in got} == {20}
+
+
+def test_rows_that_repeat_an_id_are_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (0, [0.5, 0.0], 0), (1, [0.25, 0.0], 0)], VEC)
+    rows = sorted(tuple(r) for r in topk.top_k(df).collect())
+    assert len(rows) == 9 and rows.count((0, 1, 0, 65536)) == 2 and rows.count((0, 3, 1, 8192)) == 1
+    assert ann.search_neighbours(df).count() == 9
+
+
 def test_small_and_empty_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (3, [1.0, 1.0], 0)], VEC)
     assert [tuple(r) for r in topk.top_k(few).orderBy("query_id", "rank").collect()] == [(0, 1, 3, 65536), (0, 2, 50, 0), (50, 1, 3, 65536), (50, 2, 0, 0)]
