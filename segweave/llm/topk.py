@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import best_rows, block_of, deal_blocks, matrix, packed, row_batches, sample, search_units, unpacked, valid_vectors
+from .vectors import best_rows, block_of, deal_blocks, matrix, packed, row_batches, sample, search_units, unpacked, valid_vectors, with_rows
 
 K, QUERY_STEP, RINGS = 5, 50, 4
 #: Rows for each pivot, and the least and most pivots.
@@ -61,12 +61,12 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     """query_id, rank, vec_id, score: for each id divisible by step, its k largest integer inner products with other rows.
 
     Components x count as floor(256 x). Vectors that are null, empty or hold null or non-finite components take no part,
-    nor do null ids; rows that repeat an id are one vector, the smallest of theirs. Shorter vectors end in zeros. Ties go to
+    nor do null ids; rows that repeat an id are queries and candidates of their own. Shorter vectors end in zeros. Ties go to
     the smaller id; with fewer rows than k there are fewer ranks; an empty table gives no rows.
     """
     scratch = Scratch(rows.sparkSession)
     whole = valid_vectors(rows, id_col, vector_col, zero=True).select("id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
-    whole = scratch.write(whole)
+    whole = scratch.write(with_rows(whole))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     facts = whole.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(square).alias("m"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")).first()
     n, dim, m = facts.n, facts.dim or 1, facts.m or 0.0
@@ -83,13 +83,13 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             x = matrix(batch.column("v"), dim, kind)
             d = distances(lifted(x), pivots)
             cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell]), packed(x)], names=["id", "cell", "away", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(cell)), cell]), packed(x)], names=["id", "row", "cell", "away", "vec"])
 
-    placed = scratch.write(whole.mapInArrow(assign, "id long, cell int, away double, vec binary"))
+    placed = scratch.write(whole.mapInArrow(assign, "id long, row long, cell int, away double, vec binary"))
     # Rings of a cell: equal steps between its nearest and farthest row.
     spans = placed.groupBy("cell").agg(F.min("away").alias("near"), F.max("away").alias("far"))
     ring = F.least(F.floor((F.col("away") - F.col("near")) / F.greatest((F.col("far") - F.col("near")) / RINGS, F.lit(1e-9))), F.lit(RINGS - 1)).cast("int")
-    ringed = placed.join(spans, "cell").select("id", "vec", "away", "cell", (F.col("cell") * RINGS + ring).alias("unit"))
+    ringed = placed.join(spans, "cell").select("id", "row", "vec", "away", "cell", (F.col("cell") * RINGS + ring).alias("unit"))
     units = ringed.groupBy("unit", "cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high"))
     units = scratch.write(units)
     summary = units.orderBy("unit").toPandas()  # at most RINGS rows for each pivot
@@ -101,15 +101,15 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             x = matrix(batch.column("v"), dim, kind)
             d = distances(flat(x), pivots)
             need = [numbers[u].astype(np.int32) for u in needed_rings(d, cell, count, low, high, k, reach * 1e-7)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d.argmin(axis=1), pa.int32()), packed(x), pa.array(need, pa.list_(pa.int32()))], names=["id", "cell", "vec", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(d.argmin(axis=1), pa.int32()), packed(x), pa.array(need, pa.list_(pa.int32()))], names=["id", "row", "cell", "vec", "units"])
 
-    asked = scratch.write(whole.where(F.col("id") % step == 0).mapInArrow(ask, "id long, cell int, vec binary, units array<int>"))
+    asked = scratch.write(whole.where(F.col("id") % step == 0).mapInArrow(ask, "id long, row long, cell int, vec binary, units array<int>"))
     blocks = deal_blocks({r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}) or {0: (0, 1)}
-    queries = asked.select("id", block_of(F.col("cell"), blocks, F.col("id")).alias("block"), "vec", "units")
+    queries = asked.select("id", "row", block_of(F.col("cell"), blocks, F.col("row")).alias("block"), "vec", "units")
 
     def local(mine: pd.DataFrame, theirs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, ids = unpacked(mine["vec"], dim, kind), mine["id"].to_numpy()
-        q, own = unpacked(theirs["qvec"], dim, kind), theirs["qid"].to_numpy()
+        x, ids = unpacked(mine["vec"], dim, kind), mine["row"].to_numpy()
+        q, own = unpacked(theirs["qvec"], dim, kind), theirs["qrow"].to_numpy()
         out_q, out_d, out_s = [], [], []
         for at in range(0, len(q), 512):
             s = (q[at : at + 512] @ x.T).astype(np.float64 if kind is np.float64 else np.int64)
@@ -125,4 +125,4 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             out_s.append(s[row, column][good].astype(np.int64))
         return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
 
-    return search_units(ringed.select("unit", "id", "vec"), queries, units.select("unit", "n"), local, k, "long", [])
+    return search_units(ringed.select("unit", "id", "row", "vec"), queries, units.select("unit", "n"), local, k, "long", []).drop("query_row")

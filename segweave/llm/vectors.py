@@ -23,14 +23,19 @@ SAMPLE = 16_384
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
     """id, v (array<double>) of rows whose vectors are whole: not null or empty, all components finite; zero: zero vectors stay.
 
-    Rows that repeat an id are one vector, the smallest of theirs; rows with a null id are left out.
+    Rows that repeat an id are rows of their own; rows with a null id, which no result could name, are left out.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.transform(vector_col, lambda x: x.cast("double"))
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, finite)
     if not zero:
         ok = ok & F.exists(vector_col, lambda x: x != 0)
-    return rows.where(F.coalesce(ok, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
+    return rows.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def with_rows(vectors: DataFrame) -> DataFrame:
+    """vectors with row, a number that tells rows apart; to be written before it is read twice."""
+    return vectors.withColumn("row", F.monotonically_increasing_id())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float64) -> np.ndarray:
@@ -60,7 +65,7 @@ def unpacked(column: pd.Series, dim: int, kind=np.float64) -> np.ndarray:
 
 def sample(vectors: DataFrame, dim: int, n: int = SAMPLE) -> np.ndarray:
     """At most n vectors, the same for the same table."""
-    return matrix(vectors.orderBy(F.xxhash64("id"), "id").limit(n).select("v").toArrow().column("v"), dim)
+    return matrix(vectors.orderBy(F.xxhash64("id", "v"), "id", "v").limit(n).select("v").toArrow().column("v"), dim)
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -84,30 +89,30 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_units(data: DataFrame, queries: DataFrame, units: DataFrame, local: Callable, k: int, score_type: str, carry: list[str]) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of the units that it names.
+    """query_row, query_id, rank, vec_id, score: each query's k best rows of the units that it names.
 
-    data(unit, id, vec, *carry), queries(id, block, vec, units array<int>[, least]), units(unit, n). local(pandas data in order of
-    id, pandas queries) -> (query numbers, data numbers, scores) of at least each query's k best rows of the part.
+    data(unit, id, row, vec, *carry), queries(id, row, block, vec, units array<int>[, least]), units(unit, n). local(pandas data in
+    order of id, pandas queries) -> (query numbers, data numbers, scores) of at least each query's k best rows of the part.
     """
     parts = units.select("unit", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     need = queries.select(F.col("block").alias("to"), F.explode("units").alias("unit")).distinct()
-    rows = data.join(parts, "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(need, "unit")
-    rows = rows.select(F.col("to").alias("block"), "unit", "part", "id", "vec", *carry)
+    rows = data.join(parts, "unit").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).join(need, "unit")
+    rows = rows.select(F.col("to").alias("block"), "unit", "part", "id", "row", "vec", *carry)
     more = [c for c in queries.columns if c == "least"]
-    asks = queries.select("block", F.col("id").alias("qid"), F.col("vec").alias("qvec"), *more, F.explode("units").alias("unit"))
-    asks = asks.join(parts, "unit").select("block", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "qvec", *more)
+    asks = queries.select("block", F.col("id").alias("qid"), F.col("row").alias("qrow"), F.col("vec").alias("qvec"), *more, F.explode("units").alias("unit"))
+    asks = asks.join(parts, "unit").select("block", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "qrow", "qvec", *more)
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64 if score_type == "long" else np.float64)})
-        mine = mine.sort_values("id")
+            return pd.DataFrame({"query_row": np.empty(0, np.int64), "query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64 if score_type == "long" else np.float64)})
+        mine = mine.sort_values(["id", "row"])
         q, d, s = local(mine, theirs)
-        return pd.DataFrame({"query_id": theirs["qid"].to_numpy()[q], "vec_id": mine["id"].to_numpy()[d], "score": s})
+        return pd.DataFrame({"query_row": theirs["qrow"].to_numpy()[q], "query_id": theirs["qid"].to_numpy()[q], "vec_id": mine["id"].to_numpy()[d], "score": s})
 
     keys = ["block", "unit", "part"]
-    met = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(meet, f"query_id long, vec_id long, score {score_type}")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(meet, f"query_row long, query_id long, vec_id long, score {score_type}")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
 
 def block_of(cell: Column, blocks: dict[int, tuple[int, int]], key: Column) -> Column:
