@@ -1,22 +1,33 @@
 """URL filters: rules first, then empirical-Bayes host reputation.
 
-Labelled page outcomes (good: 1, bad: 0) are counted per host. Bad rates are shrunk through beta-binomial priors from
-host to registered domain to suffix: each level's prior has the posterior mean of the level above and a strength
-fitted by moments, and a host is blocked if the lower bound of its posterior bad rate lies above a threshold.
-Only counts per host are shuffled before the verdicts join the pages; a hot host is one row after the map side.
+Labelled page outcomes (good: 1, bad: 0) are counted per host, ports and user names left out. Bad rates are shrunk through
+beta-binomial priors from host to registered domain to suffix: each level's prior has the posterior mean of the level above
+and a strength fitted by moments. A host's posterior is a beta distribution; the host is blocked if its quantile at TAIL,
+the lower bound of its bad rate, lies above a threshold, that is if less than TAIL of the posterior lies below it.
+Only counts per host are shuffled before the verdicts join the pages; a hot host is one row after the map side, and its
+pages meet it in a join of plain tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels; any other suffix is the last label.
+from .scratch import Scratch
+
+#: Public suffixes of two labels; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.mx", "co.za"]
 
 #: (action, host, path) of the rules that the query applies.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: Share of a posterior that lies below its lower bound.
+TAIL = 0.05
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,9 +51,42 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return hit
 
 
+def bare_host(host: Column) -> Column:
+    """A url's host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+
+
+def beta_below(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of each beta distribution that lies below x, by the continued fraction of the incomplete beta function."""
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    front = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) + p * math.log(x) + q * math.log1p(-x) for p, q in zip(a, b, strict=True)])
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(p), 1 / safe(1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / safe(1 + step * d), safe(1 + step / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-14):
+            break
+    share = np.exp(front) * h / p
+    return np.where(swap, 1 - share, share)
+
+
+def _below(threshold: float):
+    @F.pandas_udf("double")
+    def below(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(beta_below(threshold, a.to_numpy(), b.to_numpy()))
+
+    return below
+
+
 def with_levels(df: DataFrame) -> DataFrame:
     """Adds suffix and domain (registered) of the column host."""
-    labels = F.split("host", r"\.")
+    labels = F.split(F.regexp_replace("host", r"\.$", ""), r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), n), ".")
     two = last(2).isin(TWO_LABEL_SUFFIXES)
     return df.withColumn("suffix", F.when(two, last(2)).otherwise(last(1))).withColumn("domain", F.when(two, last(3)).otherwise(last(2)))
@@ -63,13 +107,16 @@ def _strength(units: DataFrame, by: list[str], floor: float, ceil: float) -> Dat
     return m.select(*by, F.when(ok, F.least(F.greatest(F.try_divide(F.lit(1.0), rho) - 1, F.lit(floor)), F.lit(ceil))).otherwise(F.lit(ceil)).alias("s0"), F.when(ok & (rho > 0), F.lit(True)).otherwise(F.lit(False)).alias("spread"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645, floor: float = 1.0, ceil: float = 200.0) -> DataFrame:
-    """host, n, k, mean, lower for each host of outcomes(host, good); good null: an unlabelled page, which only names the host.
+def host_reputation(outcomes: DataFrame, floor: float = 1.0, ceil: float = 200.0) -> DataFrame:
+    """host, n, k, a, b, mean for each host of outcomes(host, good); good null: an unlabelled page, which only names the host.
+
+    The host's bad rate has the posterior beta(a, b).
 
     Where labels show no spread between units, the strength is ceil: hosts then keep close to their domain's rate.
     """
     bad = F.when(F.col("good") == 0, 1).when(F.col("good") == 1, 0)
-    hosts = with_levels(outcomes.groupBy("host").agg(F.count(bad).cast("double").alias("n"), F.coalesce(F.sum(bad), F.lit(0)).cast("double").alias("k")))
+    counted = outcomes.groupBy("host").agg(F.count(bad).cast("double").alias("n"), F.coalesce(F.sum(bad), F.lit(0)).cast("double").alias("k"))
+    hosts = Scratch(outcomes.sparkSession).write(with_levels(counted))  # read by every level
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("tn"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("tk"))
@@ -81,21 +128,22 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, floor: float = 1.0, c
     suffix_mean = suffixes.crossJoin(F.broadcast(top)).select("suffix", rate(F.col("k"), F.col("n"), every, F.col("s_suffix")).alias("suffix_mean"), "s_domain", "s_host")
     domain_mean = domains.join(suffix_mean, "suffix").select("domain", "suffix", rate(F.col("k"), F.col("n"), F.col("suffix_mean"), F.col("s_domain")).alias("domain_mean"), "s_host")
     a = F.col("k") + F.col("domain_mean") * F.col("s_host")
-    b = F.col("n") + F.col("s_host")
-    mean = a / b
-    return hosts.join(domain_mean, ["suffix", "domain"]).select("host", "n", "k", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (b + 1))).alias("lower"))
+    total = F.col("n") + F.col("s_host")
+    return hosts.join(domain_mean, ["suffix", "domain"]).select("host", "n", "k", a.alias("a"), (total - a).alias("b"), (a / total).alias("mean"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_lower for each row of pages.
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = 0.5, tail: float = TAIL) -> DataFrame:
+    """page_id, host, path, rule, verdict, bad_rate (the posterior mean of the host's) for each row of pages.
 
     labels(doc_id, quality): the outcome of the page of that id; several outcomes of one id count by their minimum.
     Null urls have empty host and path and take the verdict of the method; repeated rows stay repeated.
     """
-    seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    seen = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).withColumn("bare", bare_host(F.col("host")))
     outcome = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("good"))
-    reputation = host_reputation(seen.select("page_id", "host").join(outcome, "page_id", "left").select("host", "good"))
+    reputation = host_reputation(seen.select("page_id", F.col("bare").alias("host")).join(outcome, "page_id", "left").select("host", "good"))
+    judged_hosts = reputation.select(F.col("host").alias("bare"), F.round("mean", 6).alias("bad_rate"), (_below(threshold)("a", "b") < tail).alias("bad"))
+    judged_hosts = Scratch(pages.sparkSession).write(judged_hosts)
     hit = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = seen.withColumn("hit", hit).join(reputation.select("host", "lower"), "host", "left")
-    verdict = F.coalesce(F.col("hit.action"), F.when(F.col("lower") > threshold, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.round("lower", 6).alias("bad_lower"))
+    judged = seen.withColumn("hit", hit).join(judged_hosts, "bare", "left")
+    verdict = F.coalesce(F.col("hit.action"), F.when(F.col("bad"), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "bad_rate")
