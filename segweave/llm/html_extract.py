@@ -17,9 +17,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 
-# Frequent function words by language.
+#: Frequent function words of four languages; pages in others are judged by length and links alone.
 STOP_WORDS = frozenset(
     """
     the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you
@@ -31,11 +31,13 @@ STOP_WORDS = frozenset(
     el los del las por con para su al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser y
     """.split()
 )
-# Elements whose content never belongs to the text, read as raw text by browsers or not shown.
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|head|title"
-# Elements that hold page furniture.
-FURNITURE = frozenset("nav footer aside form button dialog menu fieldset label option figcaption".split())
-# Words of class, id or role that name page furniture.
+#: Elements whose content never belongs to the text. Without an end tag script and style run to the page's end, as in
+#: browsers; of others only the tag goes, and a title ends at the next tag.
+RAW = frozenset("script style noscript template svg iframe textarea select object canvas title".split())
+TO_THE_END = frozenset(("script", "style"))
+#: Elements that hold page furniture.
+FURNITURE = frozenset("nav footer aside form button dialog menu fieldset label option".split())
+#: Words of class, id or role that name page furniture.
 HINTS = frozenset(
     """
     ad ads adbox adslot adsbygoogle adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments
@@ -47,7 +49,7 @@ HINTS = frozenset(
 BLOCK_TAGS = frozenset(
     """
     p div section article main header nav footer aside form ul ol li dl dt dd table thead tbody tfoot tr td th caption h1
-    h2 h3 h4 h5 h6 blockquote pre figure figcaption address hr body html fieldset details summary dialog menu center
+    h2 h3 h4 h5 h6 blockquote pre figure figcaption address hr body html head fieldset details summary dialog menu center
     """.split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -58,7 +60,7 @@ UNHINTED = frozenset(("html", "body", "article", "main", "a", "img", *HEADINGS))
 CONTAINERS = frozenset("article main section div td aside nav footer header form body ul ol".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )
@@ -66,6 +68,10 @@ ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAMES = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 WORD = re.compile(r"[^\W\d_]+")
 
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+#: Share of stop words, over a page's longer blocks, below which its language is none of those known.
+UNKNOWN_STOPS = 0.03
 MAX_LINK_DENSITY, MAX_LINK_DENSITY_ARTICLE = 0.2, 0.5
 LOW_STOPS, HIGH_STOPS = 0.10, 0.20
 SHORT, LONG = 70, 200
@@ -125,16 +131,30 @@ def blocks_of(page: str) -> list[Block]:
             state["linked"] += len("".join(text.split()))
 
     at = 0
-    for m in TAG.finditer(page):
+    unended: set[str] = set()
+    while (m := TAG.search(page, at)) is not None:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"] is not None and m["raw"].lower() in ("head", "title"):
-                flush()
             continue
         name = name.lower()
+        if name in RAW:
+            if name == "title":
+                flush()
+            if m["end"]:
+                continue
+            end = None if name in unended else ENDS[name].search(page, at)
+            if end is not None:
+                at = end.end()
+                continue
+            unended.add(name)
+            if name in TO_THE_END:
+                at = len(page)
+            elif name == "title":
+                at = found if (found := page.find("<", at)) >= 0 else len(page)
+            continue
         block = name in BLOCK_TAGS
         if m["end"]:
             if name == "a":
@@ -179,8 +199,18 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def classify(block: Block) -> str:
-    """good, bad or ambiguous, by the block alone."""
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def knows_language(blocks: list[Block]) -> bool:
+    """Whether the page's longer blocks hold stop words at all."""
+    return stop_share(" ".join(b.text for b in blocks if not b.furniture and len(b.text) >= SHORT)) >= UNKNOWN_STOPS
+
+
+def classify(block: Block, known: bool = True) -> str:
+    """good, bad or ambiguous, by the block alone; known: the page's language has a list of stop words."""
     if block.furniture:
         return "bad"
     letters = len(block.text.replace(" ", ""))
@@ -189,8 +219,9 @@ def classify(block: Block) -> str:
         return "ambiguous" if block.in_article and len(block.text) >= SHORT else "bad"
     if block.tag in HEADINGS or len(block.text) < SHORT:
         return "ambiguous"
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if not known:
+        return "good" if len(block.text) > LONG else "ambiguous"
+    stops = stop_share(block.text)
     if stops >= HIGH_STOPS or stops >= LOW_STOPS and len(block.text) > LONG:
         return "good"
     return "ambiguous" if block.in_article or stops >= LOW_STOPS else "bad"
@@ -198,7 +229,8 @@ def classify(block: Block) -> str:
 
 def label_blocks(blocks: list[Block]) -> list[Block]:
     """Both passes; sets each block's label to good or bad."""
-    first = [classify(b) for b in blocks]
+    known = knows_language(blocks)
+    first = [classify(b, known) for b in blocks]
     n = len(blocks)
 
     def reach(order: range) -> list[tuple[int, str]]:
@@ -244,7 +276,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html).
 
     Null or empty html gives empty text; rows with null ids or urls, and repeated rows, come out as they came in;
-    further columns are not read. A page without markup is one block.
+    further columns are not read. A page without markup is one block. End tags that HTML leaves optional may be missing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,4 +289,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     bound_batches(pages.sparkSession)
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
