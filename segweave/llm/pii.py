@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, tidy
 
 #: A key of one's own replaces this one in production; who holds it can undo the surrogates.
 DEFAULT_KEY = b"segweave surrogate key"
 
-# Letters by script, each letter's place is its rank; cases correspond.
+#: Letters by script, each letter's place is its rank; cases correspond.
 SCRIPTS = {
     "latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "latin-marked": ("àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ"),
@@ -34,7 +34,7 @@ SCRIPTS = {
     "cyrillic": ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
 }
 DIGITS = "0123456789"
-# Given names by gender and script, which change places within their list.
+#: Given names by gender and script, which change places within their list.
 GIVEN_NAMES = [
     "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew George Peter Hans".split(),
     "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Anna Laura Marie Julia".split(),
@@ -44,6 +44,10 @@ GIVEN_NAMES = [
     "Μαρία Ελένη Αικατερίνη Σοφία Άννα Βασιλική".split(),
 ]
 _GIVEN = {name for names in GIVEN_NAMES for name in names}
+#: What a name follows.
+SAID = r"(?i:my name is|name:|i am called|ich heiße|mein name ist|je m['’]appelle|me llamo|mi nombre es|меня зовут)"
+#: Beginnings of keys, which are their format and stay.
+KEY_HEADS = r"(?:sk|pk|rk)-(?:live-|test-|proj-)?|AKIA|ASIA|gh[pousr]_|xox[bpars]-"
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|г-н|г-жа|κ|κα"
 
 _CLASS_OF = {c: (f"{name}", i) for name, pair in SCRIPTS.items() for letters in pair for i, c in enumerate(letters)} | {c: ("digit", i) for i, c in enumerate(DIGITS)}
@@ -192,8 +196,13 @@ def _secret(m: str, key: bytes) -> str:
     return head + reformat(body, key, "secret", hexadecimal=len(cases) < 2 and all(c in _HEX or not c.isalnum() for c in body)) + tail[len(body) :]
 
 
+def _headed(m: str, key: bytes) -> str:
+    head = re.match(KEY_HEADS, m).group()
+    return head + reformat(m[len(head) :], key, f"key|{head}")
+
+
 def _name(m: str, key: bytes) -> str:
-    title = re.match(rf"(?:{TITLES})\.?\s+", m).group()
+    title = re.match(rf"(?:{TITLES})\.?\s+|{SAID}\s+", m).group()
     out = []
     for word in re.split(r"(\s+|-)", m[len(title) :]):
         for k, names in enumerate(GIVEN_NAMES):
@@ -210,20 +219,22 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ENTITIES: list[tuple[str, str, Callable[[str, bytes], str]]] = [
     ("email", r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}", _email),
     ("secret", r"(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key)\b[\"']?\s*[=:]\s*)(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})", _secret),
+    ("headed_key", rf"(?<![\w-])(?:(?:{KEY_HEADS})(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{{16,}})(?![\w-])", _headed),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])", lambda m, key: reformat(m, key, "ipv6", hexadecimal=True)),
     ("key", r"(?<!\w)(?=[a-f]*\d)[0-9a-f]{32,}(?!\w)|(?<!\w)(?=[A-F]*\d)[0-9A-F]{32,}(?!\w)", lambda m, key: reformat(m, key, "secret", hexadecimal=True)),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b(?<=\d)", _iban),
     ("ip", rf"(?<!\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)", _ip),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", lambda m, key: reformat(m, key, "ssn")),
     ("card", r"(?<!\d)(?<!\d[.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![.-]?\d)", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])", _phone),
-    ("name", rf"\b(?:{TITLES})\b\.?\s+[^\W\d_a-z]\w+(?:(?: |-)[^\W\d_a-z]\w+)?", _name),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w/.-])0\d{1,4}[/ ]\d{3,4}[ -]?\d{2,5}(?![\w/-])", _phone),
+    ("name", rf"(?:\b(?:{TITLES})\b\.?|\b{SAID})\s+[^\W\d_a-z]\w+(?:(?: |-)[^\W\d_a-z]\w+)?", _name),
 ]
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in ENTITIES))
 _MAKERS = {kind: make for kind, _, make in ENTITIES}
 #: Texts without any of these hold no entity.
-_SIGN = re.compile(rf"[@\d]|(?i:token|key|secret|passw)|\b(?:{TITLES})\b")
+_SIGN = re.compile(rf"[@\d]|(?i:token|key|secret|passw)|\b(?:{TITLES})\b|{SAID}")
 #: Entities whose surrogates a task keeps.
-CACHE = 100_000
+CACHE = 50_000
 #: Further keys tried for an entity whose surrogate another one of its text has.
 TWEAKS = 20
 
@@ -270,18 +281,23 @@ class Pseudonymizer:
 
 
 def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with all its columns and rows, text holding surrogates."""
+    """docs with all its columns and rows, text holding surrogates; n_chars, if there is one, counts the new text."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pseudonymizer(key)
         for batch in batches:
             columns = list(batch.columns)
-            columns[at] = pa.array([p.replace(t.as_py())[0] for t in batch.column(at)], batch.schema.field(at).type)
+            texts = [p.replace(t.as_py())[0] for t in batch.column(at)]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if counted is not None:
+                old = batch.column(counted)
+                columns[counted] = pa.array([n.as_py() if t is None or n.as_py() is None else len(t) for t, n in zip(texts, old, strict=True)], batch.schema.field(counted).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -301,7 +317,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
                 names=["doc_id", "text", "n_entities", "kinds"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_entities long, kinds string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_entities long, kinds string")
 
 
 def entity_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -313,7 +329,7 @@ def entity_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
             rows = [e for t in batch.column(0) for e in p.replace(t.as_py())[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string").groupBy("kind", "entity", "surrogate").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "kind string, entity string, surrogate string").groupBy("kind", "entity", "surrogate").agg(F.count("*").alias("n"))
 
 
 def check_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
