@@ -9,9 +9,9 @@ from .functions import exprs as X
 from .operators import code_symbols, codecs, profiles, transforms
 from .plans import passes, planner
 from .plans.passes import Context
-from .plans.segments import KEY, segment
+from .plans.segments import KEY, positioned, segment
 from .session import table
-from .workloads import CONV, DOCS, EVENTS, LOW, MORE_ALERTS, TASK, WANTED, _PRIO, WANTED_SQL, _symbols_sql, conv_segments, doc_segments, event_segments, line_tables, mixed_segments, query
+from .workloads import CONV, DOCS, EVENTS, LOW, TASK, WANTED, WANTED_SQL, _symbols_sql, conv_segments, doc_segments, event_segments, line_tables, mixed_segments, query
 
 LF = "chr(10)"
 ALERT_RE = "|".join(X.ALERTS)
@@ -181,8 +181,6 @@ def html_compact(spark, sf_dir):
 
 #: What the telegraphic transform leaves of a text's words.
 _BARE = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
-_STOPS = listed(sorted(transforms.STOP_WORDS))
-_FACT = f"(regexp_matches({{0}}, '[0-9]') OR (regexp_matches({{0}}, '^\\p{{{{Lu}}}}') AND NOT list_contains({_STOPS}, {_BARE.replace('{{', '{{{{').replace('}}', '}}}}')})))".replace("{{{{", "{{").replace("}}}}", "}}")
 
 
 def _telegraphic_sql(rows: str) -> str:
@@ -280,21 +278,26 @@ def delta_patch(spark, sf_dir):
     return both.select(*KEY, "base_id", codecs.apply_delta("base_text", "rendered").eqNullSafe(F.col("text")).alias("exact"))
 
 
-def watched_segments(spark: SparkSession, sf_dir: str, lines: int = 40) -> DataFrame:
-    """A session for each order status: each output lists forty orders, one further on than the output before it."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderstatus").alias("session_id"), "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice").alias("line"))
-    from .plans.segments import ranked
-
-    at = o.join(ranked(o.select("session_id", "o_orderkey"), "o_orderkey"), ["session_id", "o_orderkey"])
-    spread = at.select("session_id", "line", F.col("position").alias("n"), F.explode(F.sequence(F.greatest(F.col("position") - (lines - 1), F.lit(0)), F.col("position"))).alias("position"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda r: r["line"]), "\n")
-    t = spread.groupBy("session_id", "position").agg(F.count("*").alias("n"), text.alias("text")).where(F.col("n") == lines)
+def watched_segments(spark: SparkSession, sf_dir: str, lines: int = 30) -> DataFrame:
+    """A session for each order status: two outputs for each stretch of orders, its list and its list with one line more."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("session_id"), "o_orderkey", F.concat_ws(" ", "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice").alias("line"))
+    totals = o.groupBy("session_id").agg(F.count("*").alias("n"))
+    last = F.greatest(F.expr(f"n div {lines}") - 1, F.lit(0))
+    at = positioned(o, "o_orderkey").join(totals, "session_id").withColumn("block", F.least(F.expr(f"position div {lines}"), last))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda r: r["line"]), "\n")
+    blocks = at.groupBy("session_id", "block").agg(text.alias("text"))
+    more = F.concat("text", F.lit("\nend of stretch "), "block")
+    twice = F.array(F.struct((F.col("block") * 2).alias("position"), F.col("text")), F.struct((F.col("block") * 2 + 1).alias("position"), more.alias("text")))
+    t = blocks.select("session_id", F.inline(twice))
     return segment(t.select("session_id", "position", F.lit("tool").alias("role"), F.lit("tool_output").alias("kind"), F.lit("watch").alias("tool_class"), "text"))
 
 
-@query("WITH o AS (SELECT o_orderstatus AS session_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS p, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WHERE o_orderkey % 10 = 0) SELECT session_id, p AS seg_id, p - 1 AS base_id, true AS exact FROM o WHERE p >= 1 AND p <= n - 40")
+@query(
+    """WITH o AS (SELECT o_orderstatus AS session_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS p, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), b AS (SELECT DISTINCT session_id, least(p // 30, greatest(n // 30 - 1, 0)) AS block FROM o)
+  SELECT session_id, block * 2 + 1 AS seg_id, block * 2 AS base_id, true AS exact FROM b"""
+)
 def envelope_dedup(spark, sf_dir):
-    """Each output is a small delta of the one before it."""
+    """Each second output is a small delta of the one before it."""
     s = watched_segments(spark, sf_dir)
     p = passes.envelope_dedup(s, Context()).select(*KEY, "base_id", "rendered")
     bases = s.select("session_id", F.col("seg_id").alias("base_id"), F.col("text").alias("base_text"))
