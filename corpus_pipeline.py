@@ -56,6 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole table documents."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = scratch.write(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
