@@ -135,10 +135,12 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
 
 
 def brute_classes(rows, threshold=0.8):
-    hashes = near_dup._WordHashes()
+    import re
+
     sets = {}
     for i, t in rows:
-        sets[i] = set(near_dup.shingle_hashes(t, hashes).tolist())
+        found = re.findall(r"\w+", (t or "").lower())
+        sets[i] = {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else {(t or "").strip()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -154,6 +156,25 @@ def brute_classes(rows, threshold=0.8):
     return {i: find(i) for i in sets}
 
 
+def test_parts_of_large_buckets_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for c in range(3):
+        base = words(rng, 70).split()
+        for k in range(25):
+            # Copies of one base with a stretch of their own: some pairs are similar, some are not, and all share bands.
+            own, at = rng.randint(0, 16), rng.randint(0, 50)
+            rows.append((len(rows), " ".join(base[:at] + words(rng, own).split() + base[at + own :])))
+    rows += [(len(rows) + k, rows[3 * k][1] + " " + words(rng, 12)) for k in range(20)]
+    want = brute_classes(rows)
+    assert 10 < len(set(want.values())) < 90
+    for part in (2, 512):
+        monkeypatch.setattr(near_dup, "PART", part)
+        assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want, part
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_classes_equal_brute_force(spark):
     rng = random.Random(4)
     rows = []
@@ -397,9 +418,57 @@ def test_bounds_never_exceed_a_packing():
     assert packing.lower_bound(np.full(10, 1100)) == 10
 
 
+def test_certified_packings_are_optimal():
+    rng = random.Random(3)
+
+    def optimum(lengths, capacity):
+        best = len(lengths)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(lengths):
+                best = len(rooms)
+                return
+            for k, room in enumerate(rooms):
+                if room >= lengths[i] and room not in rooms[:k]:
+                    place(i + 1, rooms[:k] + [room - lengths[i]] + rooms[k + 1 :])
+            place(i + 1, rooms + [capacity - lengths[i]])
+
+        place(0, [])
+        return best
+
+    proven = 0
+    for _ in range(300):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        rows = np.array(lengths)
+        bound, found, least = packing.lower_bound(rows, 20), len(packing.best_fit_decreasing(rows, 20)[2]), optimum(lengths, 20)
+        assert bound <= least <= found
+        proven += bound == found
+    assert proven > 250
+
+
 # pipeline
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    rows = [(1, None, None), (None, "one two three four five six", "a"), (2, "", "a"), (2, "other words of the same id here", None), (3, "x" * 200_000, "b"), (4, "my mail is a.b@example.org and that is all", "b")]
+    for name, found in (("odd", rows), ("empty", [])):
+        df = docs(spark, found).withColumn("n_chars", F.char_length("text")).withColumn("shard", F.lit("own")).withColumn("piece", F.lit(7))
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        now = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, f"{tmp_path}/{name}")
+            assert k == 4 or out.columns == df.columns
+            out.write.parquet(f"{tmp_path}/{name}/{k}")
+            now = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+            if name == "odd" and k == 3:
+                assert all(r.n_chars == len(r.text) for r in now.collect()) and {r.shard for r in now.collect()} == {"own"}
+        assert (now.count() > 0) == bool(found)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(8)
     rows = [(i, words(rng, rng.randint(5, 200)) + (" mail anna@x.org" if i % 9 == 0 else ""), f"s{i % 3}") for i in range(120)]
