@@ -277,13 +277,23 @@ def leaderboard_of(items: DataFrame, budget: int = BOARD_BUDGET) -> DataFrame:
     return rows.groupBy("name").agg(F.count("*").alias("items"), F.round(F.avg(X.ratio(F.col("net"), F.col("input"))), 6).alias("ratio"), F.round(F.avg(held), 6).alias("fidelity"), F.round(1 - F.avg(held), 6).alias("divergence"), F.round(F.avg(F.startswith("context", "first").cast("double")), 6).alias("prefix"))
 
 
-@query()
+_ITEMS = f"""b AS (SELECT item_id, regexp_replace(left(text, 60), '[^A-Za-z0-9 ]', '', 'g') AS needle FROM benchmark), i AS (SELECT item_id, needle, unnest(range(0, 10)) AS p FROM b),
+  t AS (SELECT item_id, needle, p, CASE WHEN p = 0 THEN '// ' || needle ELSE 'zz' || item_id || 'q noise' || p || 'k ' || repeat('vv' || p || 'w ', 12) END AS text FROM i), k AS (SELECT *, (length(text) + 3) // 4 AS tok FROM t)"""
+
+
+@query(
+    f"""WITH {_ITEMS}, r AS (SELECT *, p = 0 OR p >= 4 AS relevant, sum(tok) OVER (PARTITION BY item_id ORDER BY p DESC) AS upto, sum(tok) OVER (PARTITION BY item_id) AS input FROM k),
+  e AS (SELECT *, sum(CASE WHEN relevant THEN tok ELSE 0 END) OVER (PARTITION BY item_id) AS net0, coalesce(sum(CASE WHEN p >= 4 THEN tok ELSE 0 END) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+  c AS (SELECT *, unnest(['none', 'truncation', 'engine']) AS name, unnest([true, upto <= {BOARD_BUDGET} OR p = 9, p = 0 OR (p >= 4 AND net0 - before <= {BOARD_BUDGET})]) AS kept FROM e),
+  x AS (SELECT name, item_id, any_value(input) AS input, sum(tok) FILTER (WHERE kept) AS net, max(CASE WHEN p = 0 AND kept THEN 1.0 ELSE 0.0 END) AS first FROM c GROUP BY name, item_id)
+  SELECT name, count(*) AS items, round(avg(net / input), 6) AS ratio, round(avg(first), 6) AS fidelity, round(1 - avg(first), 6) AS divergence, round(avg(first), 6) AS prefix FROM x GROUP BY name"""
+)
 def board(spark, sf_dir):
+    """None, truncation and the whole engine over the same items: what it costs, and whether what the task needs survives."""
     return leaderboard_of(board_items(spark, sf_dir))
 
 
-@query()
-def measured_board(spark, sf_dir):
-    """The board's first items with their tool calls: text that a shell command passes through unchanged."""
-    items = board_items(spark, sf_dir).where("position = 0")
-    return items.select("session_id", tools.shell(["cat"])(F.col("text")).alias("text"))
+@query(f"WITH {_ITEMS} SELECT CAST(item_id AS VARCHAR) AS session_id, text FROM k WHERE p = 0")
+def shell_contestant(spark, sf_dir):
+    """A contestant that is a command: one that passes its input on."""
+    return board_items(spark, sf_dir).where("position = 0").select("session_id", tools.shell(["cat"])(F.col("text")).alias("text"))
