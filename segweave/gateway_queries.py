@@ -58,6 +58,13 @@ def openai_write_back(spark, sf_dir):
     return requests.openai_tool_results(bodies).select("session_id", "position", "text")
 
 
+@query(f"WITH {_written_sql(CACHED_UPTO + 1)}, w AS (SELECT session_id, sum((length(old) + 3) // 4) FILTER (WHERE gone) AS saved FROM p GROUP BY session_id) SELECT session_id, position, CASE WHEN coalesce(saved, 0) >= 150 THEN text ELSE old END AS text FROM p JOIN w USING (session_id)")
+def least_savings(spark, sf_dir):
+    """Requests whose plan saves too little go on as they came."""
+    bodies, _ = gateway.compress_requests(anthropic_requests(spark, sf_dir), "anthropic", gateway.Config(least_savings=150))
+    return requests.anthropic_tool_results(bodies).select("session_id", "position", "text")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of which some sessions are halted, some spike, and some don't parse."""
     t = anthropic_requests(spark, sf_dir)

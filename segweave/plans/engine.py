@@ -45,7 +45,7 @@ def plan_turn(state: SessionState, segments: DataFrame, task: str = "", budget:
 def frozen_prefix(segments: DataFrame) -> DataFrame:
     """session_id, prefix_hash: of each session's frozen texts in order; a change means that the cache is cold."""
     texts = F.array_sort(F.collect_list(F.struct("position", "text")))
-    return segments.where("mutation_class = 'frozen'").groupBy("session_id").agg(F.xxhash64(F.transform(texts, lambda t: t["text"])).alias("prefix_hash"))
+    return segments.where("mutation_class = 'frozen'").groupBy("session_id").agg(F.sha2(F.array_join(F.transform(texts, lambda t: t["text"]), "\x1f"), 256).alias("prefix_hash"))
 
 
 def latest_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:

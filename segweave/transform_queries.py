@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
-from .operators import code_symbols, codecs, profiles, transforms
+from .operators import code_symbols, codecs, profiles, transforms, vectors
 from .plans import passes, planner
 from .plans.passes import Context
 from .plans.segments import KEY, positioned, segment
 from .session import table
-from .workloads import CONV, DOCS, EVENTS, LOW, TASK, WANTED, WANTED_SQL, _symbols_sql, conv_segments, doc_segments, event_segments, line_tables, mixed_segments, query
+from .sources import requests
+from .workloads import CONV, DOCS, EVENTS, LOW, ORACLE_SQL, TASK, WANTED, WANTED_SQL, _symbols_sql, conv_segments, doc_segments, event_segments, line_tables, mixed_segments, query
 
 LF = "chr(10)"
 ALERT_RE = "|".join(X.ALERTS)
@@ -447,3 +448,95 @@ def response_usage(spark, sf_dir):
     u = X.cache_usage(body, 120, 60)
     rows = table(spark, sf_dir, "events").select("event_id", u.alias("u"), X.tail_first_output(body, 120, 60).alias("output_tokens"), X.hour_long_cache(request).alias("hour"))
     return rows.select("event_id", "u.read", "u.created", "output_tokens", "hour")
+
+
+# sources, extension points and soundness
+
+
+@query(f"WITH {CONV} SELECT session_id, CAST(seg_id AS INTEGER) AS position, role, kind, CAST(NULL AS VARCHAR) AS tool_class, text FROM conv")
+def context_blocks(spark, sf_dir):
+    """Conversations as JSON arrays of blocks, and back."""
+    s = conv_segments(spark, sf_dir)
+    block = F.struct("role", "kind", F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("path"), "text")
+    rows = F.array_sort(F.collect_list(F.struct("position", block.alias("b"))))
+    given = s.groupBy("session_id").agg(F.to_json(F.transform(rows, lambda r: r["b"])).alias("value"))
+    return requests.context_blocks(given).select("session_id", "position", "role", "kind", "tool_class", "text")
+
+
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS BIGINT) AS position, CASE WHEN turn % 5 = 4 THEN 'user' WHEN turn % 5 = 3 THEN 'tool' ELSE role END AS role,
+  CASE WHEN turn % 5 = 4 THEN 'conversation_turn' WHEN turn % 5 = 3 THEN 'tool_output' WHEN role = 'system' THEN 'system_prompt' ELSE 'conversation_turn' END AS kind,
+  CASE WHEN turn % 5 = 3 THEN CASE WHEN conv_id % 3 = 0 THEN 'grep' WHEN conv_id % 3 = 1 THEN 'call_' || conv_id ELSE 'tool' END END AS tool_class FROM conversations"""
+)
+def message_blocks(spark, sf_dir):
+    t, c = F.col("turn"), F.col("conv_id")
+    m = table(spark, sf_dir, "conversations").select(
+        c.cast("string").alias("session_id"), t.alias("position"), F.when(t % 5 == 4, "narrator").when(t % 5 == 3, "tool").otherwise(F.col("role")).alias("role"), "text",
+        F.when(c % 3 == 0, "grep").alias("name"), F.when(c % 3 == 1, F.concat(F.lit("call_"), c)).alias("tool_call_id"),
+    )
+    return requests.message_blocks(m).select("session_id", "position", "role", "kind", "tool_class")
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || {LF} || '{{\"type\":\"image\",\"url\":\"u\"}}' END AS text FROM conversations")
+def content_coercion(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    parts = F.concat(F.lit('[{"type":"text","text":'), quoted, F.lit('},{"type":"image","url":"u"}]'))
+    return c.select("conv_id", "turn", requests.content_text(F.when(F.col("turn") % 2 == 0, quoted).otherwise(parts)).alias("text"))
+
+
+@query(f"WITH {CONV} SELECT session_id, CAST(sum((octet_length(encode(text)) + 3) // 4) AS BIGINT) AS tokens FROM conv GROUP BY session_id")
+def byte_counter(spark, sf_dir):
+    """Segments counted by another counter, of a quarter of the bytes."""
+    blocks = conv_segments(spark, sf_dir).select("session_id", "position", "role", "kind", "text")
+    s = segment(blocks, lambda text: F.floor((F.octet_length(text) + 3) / 4).cast("int"))
+    return s.groupBy("session_id").agg(F.sum("token_count").alias("tokens"))
+
+
+@query(f"WITH {DOCS}, b AS (SELECT *, min(seg_id) OVER (PARTITION BY session_id, path) AS base_id FROM docs) SELECT session_id, seg_id, CASE WHEN seg_id = base_id THEN 'drop' ELSE 'keep' END AS action FROM b")
+def deltas_without_base(spark, sf_dir):
+    """Every first read is dropped by a later pass, so all deltas against them are turned back."""
+    s = doc_segments(spark, sf_dir)
+    bases = passes.file_bases(s).select("session_id", F.col("base_id").alias("seg_id"))
+    gone = passes._proposal(bases, "drop", "superseded")
+    return planner.enforce(s, planner.resolve(s, [passes.file_delta(s, Context()), gone])).select(*KEY, "action")
+
+
+@query(f"WITH {CONV} SELECT session_id, seg_id, CASE WHEN kind = 'system_prompt' THEN 'keep' WHEN seg_id % 2 = 0 THEN 'drop' ELSE 'keep' END AS action FROM conv")
+def unsound_proposals(spark, sf_dir):
+    """Drops of frozen segments and replacements that nothing undoes are turned back."""
+    s = conv_segments(spark, sf_dir)
+    drops = passes._proposal(s.where("kind = 'system_prompt' or seg_id % 2 = 0"), "drop", "evicted")
+    wrong = passes._proposal(s.where("kind <> 'system_prompt' and seg_id % 2 = 1"), "replace", "duplicate", F.lit("⟪jc1⟫x"), "json_columnar")
+    return planner.enforce(s, planner.resolve(s, [drops, wrong])).select(*KEY, "action")
+
+
+@query(f"WITH {CONV} SELECT session_id, seg_id FROM conv WHERE length(text) % 3 = 0")
+def own_pass(spark, sf_dir):
+    """A pass of one's own beside the engine's."""
+    mine = lambda segments, ctx: passes._proposal(segments.where(F.char_length("text") % 3 == 0), "drop", "mine")
+    s = conv_segments(spark, sf_dir).withColumn("mutation_class", F.lit("fast"))
+    return planner.dropped(planner.make_plan(s, passes=[mine])).select(*KEY)
+
+
+@query(
+    """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1), c AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), e) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(e, e))) AS s FROM embeddings, q)
+  SELECT vec_id, round(s, 6) AS score FROM c ORDER BY s DESC, vec_id LIMIT 50"""
+)
+def rank_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    first = e.orderBy("vec_id").limit(1).first()["embedding"]
+    return vectors.rank_by_similarity(e, list(first), "embedding", "vec_id", 50).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["learn_profile"])
+def profile_round_trip(spark, sf_dir):
+    """A learned profile saved and loaded again."""
+    import uuid
+
+    from .shared import shared_folder
+
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}"
+    profiles.save_profile(learn_profile(spark, sf_dir), path)
+    kept = profiles.load_profile(spark, path)
+    return spark.createDataFrame([tuple(kept.values())], profiles.PROFILE)

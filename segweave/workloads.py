@@ -398,6 +398,31 @@ def memory_forget(spark, sf_dir):
 # monitors and statistics
 
 
+_HALTED = f"""g AS (SELECT *, sum(CASE WHEN hit_rate >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS island FROM t),
+  r AS (SELECT *, sum(CASE WHEN hit_rate < 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, island ORDER BY turn) AS below FROM g),
+  h AS (SELECT session_id, turn, max(CASE WHEN below >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) = 1 AS halted FROM r)"""
+_SPIKES = """f AS (SELECT session_id, turn, CAST(output_tokens AS DOUBLE) AS baseline, 0 AS run, false AS spiking FROM t WHERE turn = 0
+  UNION ALL SELECT session_id, turn, CASE WHEN over AND NOT shifted THEN baseline ELSE 0.3 * o + 0.7 * baseline END, run, over AND NOT shifted FROM
+   (SELECT *, over AND run >= 5 AS shifted FROM (SELECT f.session_id, t.turn, CAST(t.output_tokens AS DOUBLE) AS o, f.baseline, t.turn >= 2 AND t.output_tokens > f.baseline * 1.75 AS over, CASE WHEN t.turn >= 2 AND t.output_tokens > f.baseline * 1.75 THEN f.run + 1 ELSE 0 END AS run
+     FROM f JOIN t ON t.session_id = f.session_id AND t.turn = f.turn + 1)))"""
+
+
+@query(f"WITH RECURSIVE {TURNS}, {_SPIKES}, {_HALTED} SELECT h.session_id, h.turn, halted, spiking FROM h JOIN f ON h.session_id = f.session_id AND h.turn = f.turn")
+def monitor_stream(spark, sf_dir):
+    """Both monitors as one stream with state, over all turns."""
+    import uuid
+
+    from .shared import shared_folder
+
+    t = turns(spark, sf_dir).withColumn("hit_rate", F.col("hit_rate").cast("double"))
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    t.write.parquet(f"{path}/in")
+    stream = monitors.monitor_stream(spark.readStream.schema(t.schema).parquet(f"{path}/in"), 0.6)
+    run = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 @query(
     f"""WITH {TURNS}, g AS (SELECT *, sum(CASE WHEN hit_rate >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS island FROM t),
   r AS (SELECT *, sum(CASE WHEN hit_rate < 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, island ORDER BY turn) AS below FROM g)
@@ -526,7 +551,7 @@ def session_files(spark, sf_dir):
     return engine.SessionState.empty(spark).after(doc_segments(spark, sf_dir)).files
 
 
-@query()
+@query(f"WITH {CONV} SELECT session_id, sha256(string_agg(text, chr(31) ORDER BY seg_id)) AS prefix_hash FROM conv WHERE kind = 'system_prompt' GROUP BY session_id")
 def frozen_prefix(spark, sf_dir):
     return engine.frozen_prefix(conv_segments(spark, sf_dir))
 
