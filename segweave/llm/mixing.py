@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Blocks of a source (a power of four), and cells of a block; shards is a power of two.
+#: Blocks of a source (a power of two), and cells of a block; shards is a power of two.
 BLOCKS, CELLS, SHARDS, SEED = 4096, 4096, 16, 11
 #: Partitions that a shard is dealt to at least, and words of each beyond that.
 PARTS, PART_WORDS = 64, 16_000_000
@@ -155,18 +155,19 @@ def _keys(text: Column, seed: int, blocks: int, cells: int) -> list[Column]:
 
 
 def permuted(place: Column, source: Column, turn: Column, blocks: int, seed: int) -> Column:
-    """The position of a block in a pass over its source: a Feistel network keyed by source, pass and seed."""
-    half = int(round(blocks**0.5))
-    if half * half != blocks:
-        raise ValueError("blocks must be a square")
+    """The position of a block in a pass over its source: a permutation keyed by source, pass and seed.
 
-    def rounds(v: Column, i: int) -> Column:
-        if i == 4:
-            return v["a"] * half + v["b"]
-        mixed = F.pmod(v["a"] + F.pmod(F.xxhash64(v["b"], source, turn, F.lit(seed + 100 + i)), F.lit(half)), F.lit(half))
-        return _let({"a": v["b"], "b": mixed}, lambda w: rounds(w, i + 1))
-
-    return _let({"a": F.floor(place / half).cast("long"), "b": F.pmod(place, F.lit(half)).cast("long")}, lambda v: rounds(v, 0))
+    Multiplying by an odd number, adding, and folding high bits onto low ones all have inverses modulo a power of two.
+    """
+    if blocks & (blocks - 1):
+        raise ValueError("blocks must be a power of two")
+    mask, half = F.lit(blocks - 1).cast("long"), blocks.bit_length() // 2
+    key = lambda i: F.xxhash64(source, turn, F.lit(seed + 100 + i)).bitwiseAND(mask)
+    x = place.cast("long")
+    for i in (0, 2):
+        x = (x * key(i).bitwiseOR(F.lit(1).cast("long")) + key(i + 1)).bitwiseAND(mask)
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, half))
+    return x
 
 
 def plan_mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, cells: int = CELLS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -252,7 +253,7 @@ def mix_sources(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, see
     key = ["doc_id", "source", "print"]
     words = mixed.select(*key, "mix_shard", (F.col("mix_turn") == 0).cast("long").alias("row"), size_of(F.col("text")).alias("words"))
     by_key = words.groupBy(*key).agg(F.sum("words").alias("all_words"), F.expr("sum(words) div nullif(sum(row), 0)").alias("each"), F.size(F.collect_set("mix_shard")).alias("shards"))
-    by_key = by_key.withColumnsRenamed({n: f"of_{n}" for n in key})
+    by_key = scratch.write(by_key.withColumnsRenamed({n: f"of_{n}" for n in key}))
     same = [F.col(n).eqNullSafe(F.col(f"of_{n}")) for n in key]
     t = placed(sized, plan, blocks, seed).select(*key, "size", "source_size", "target", "at").join(by_key, same[0] & same[1] & same[2], "left")
     zero = F.lit(0).cast("long")
