@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .transforms import BRACE_EXTENSIONS, _QUIET, ascii_lower, symbols_of
 
-# Reserved words of the languages in braces.
+# Reserved words of the languages in braces.
 RESERVED = frozenset(
     """
     abstract any as async await boolean break case catch char class const constructor continue crate debugger declare default
