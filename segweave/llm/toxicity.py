@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, max_toxic: int =
     weight = np.where(toxic == 1, max(n_toxic, 1) / max(min(n_toxic, max_toxic), 1), max(n_all - n_toxic, 1) / max(min(n_all - n_toxic, max_ordinary), 1))
     model.weights = calibrate(np.column_stack([np.asarray(seen.column(c)) for c in "xyz"]), toxic, weight)
     if not any(model.weights):
-        rate = (n_toxic + 0.5) / (n_all + 1)
+        rate = (n_toxic + 0.5) / (n_all + 2)
         model.weights = (0.0, 0.0, 0.0, math.log(rate / (1 - rate)))
     return model
 
@@ -207,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXI
 
     labels(doc_id, toxic): labels other than 0 and 1 count as none, several of one id by their largest. Null and empty
     texts get the score of no evidence. A null id is not held out. Without labels of both classes every score is the
-    labelled rate, (toxic + 0.5) / (labelled + 1). Repeated rows come out as they came in; other columns are not read.
+    labelled rate, (toxic + 0.5) / (labelled + 2), so that without any label no text counts as toxic. Repeated rows come out as they came in; other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
