@@ -378,6 +378,32 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), TOKENIZER).count() == 0
 
 
+def test_pieces_of_every_character_below_250():
+    ids_of = packing.WordPieceIds(TOKENIZER)
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b {c}{c}7{c}'ll {c}.", f"{c}'{c}'S-{c}\u00b2{c}_"):
+            assert ids_of(text) == ids_of.whole(text), text.encode()
+
+
+def test_frequent_words_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 8)
+    ids_of, asked = packing.WordPieceIds(TOKENIZER), Counter()
+    model = ids_of.cache.model
+
+    class Counted:
+        def tokenize(self, word):
+            asked[word] += 1
+            return model.tokenize(word)
+
+    ids_of.cache.model = Counted()
+    for a in "abcdefgh":
+        for b in "klmnopqr":
+            text = f"the {a}{b}{a}, of"
+            assert ids_of(text) == ids_of.whole(text)
+    assert asked["the"] == asked["of"] == asked[","] == 1 and len(asked) == 67
+    assert len(ids_of.cache) <= 8 and len(ids_of.cache.before) <= 8
+
+
 def test_sequences_hold_the_ids(spark):
     rng = random.Random(7)
     texts = [words(rng, rng.randint(1, 3000)) for _ in range(30)]
